@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import merkle, packing, site_lines, splitting, tokens
+from tidewatch.llm import merkle, packing, sentences, site_lines, splitting, tokens
 from tidewatch.plans.catalogue import Catalogue
 from tidewatch.session import materialize, table
 
@@ -90,3 +90,8 @@ def p9_fill(spark, sf_dir):
 
 def _sizes(spark, sf_dir):
     return materialize(tokens.token_counts(table(spark, sf_dir, "documents")), "token-counts")
+
+
+@CATALOGUE.query("p10_found")
+def p10_found(spark, sf_dir):
+    return sentences.sentence_ends(table(spark, sf_dir, "documents"))
