@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import merkle, packing, sentences, site_lines, splitting, tokens
+from tidewatch.llm import incremental, merkle, packing, sentences, site_lines, splitting, tokens
 from tidewatch.plans.catalogue import Catalogue
 from tidewatch.session import materialize, table
 
@@ -95,3 +95,8 @@ def _sizes(spark, sf_dir):
 @CATALOGUE.query("p10_found")
 def p10_found(spark, sf_dir):
     return sentences.sentence_ends(table(spark, sf_dir, "documents"))
+
+
+@CATALOGUE.query("p5_found")
+def p5_found(spark, sf_dir):
+    return incremental.deduplicate(table(spark, sf_dir, "ledger"), table(spark, sf_dir, "new_items"))
