@@ -7,8 +7,11 @@ a task retry and nothing else.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +38,21 @@ def build_session(app: str = "tidewatch", master: str | None = None, cpus: int =
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't have it on their path."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_tidewatch_shipped", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tidewatch-")) / "tidewatch.zip"  # on the driver only; Spark serves it to executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted((root / "tidewatch").rglob("*.py")):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._tidewatch_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
