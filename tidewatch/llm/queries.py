@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import incremental, merkle, packing, sentences, site_lines, splitting, tokens
+from tidewatch.llm import incremental, merkle, packing, page_body, sentences, site_lines, splitting, tokens
 from tidewatch.plans.catalogue import Catalogue
 from tidewatch.session import materialize, table
 
@@ -100,3 +100,8 @@ def p10_found(spark, sf_dir):
 @CATALOGUE.query("p5_found")
 def p5_found(spark, sf_dir):
     return incremental.deduplicate(table(spark, sf_dir, "ledger"), table(spark, sf_dir, "new_items"))
+
+
+@CATALOGUE.query("p3_found")
+def p3_found(spark, sf_dir):
+    return page_body.find(table(spark, sf_dir, "page_captures"))
