@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.llm import incremental, merkle, packing, page_body, sentences, site_lines, splitting, tokens
+from tidewatch.llm import incremental, merkle, packing, page_body, residue, sentences, site_lines, splitting, tokens
 from tidewatch.plans.catalogue import Catalogue
 from tidewatch.session import materialize, table
 
@@ -105,3 +105,8 @@ def p5_found(spark, sf_dir):
 @CATALOGUE.query("p3_found")
 def p3_found(spark, sf_dir):
     return page_body.find(table(spark, sf_dir, "page_captures"))
+
+
+@CATALOGUE.query("p6_found")
+def p6_found(spark, sf_dir):
+    return residue.found(table(spark, sf_dir, "enriched_items"))

@@ -88,17 +88,22 @@ def clean(
     text: str = "extracted_text",
     min_documents: int = MIN_DOCUMENTS,
     min_share: float = MIN_SHARE,
+    keep: Column | None = None,
 ) -> DataFrame:
     """``docs`` with ``text`` rebuilt without its frequent lines and a column ``lines_removed``.
 
+    Counts are taken over all documents; with ``keep`` only those it is true
+    for are rebuilt and come out.
+
     The frequent lines of a source travel as one array (at most
     ``average lines / share`` entries), so documents are rebuilt in place.
     """
-    frequent = frequent_lines(docs, source, text, min_documents, min_share)
+    frequent = frequent_lines(docs, source, text, min_documents, min_share)  # of all of them
     per_source = materialize(
         frequent.groupBy("tw_source").agg(F.collect_list(F.struct("h1", "h2")).alias("tw_frequent")), "site-line-sets"
     )
     lines = F.split(F.col(text), "\n", -1)
+    docs = docs if keep is None else docs.where(keep)
     joined = docs.join(broadcast_if_small(per_source, 10_000), F.col(source).eqNullSafe(F.col("tw_source")), "left")
 
     def kept(pair: Column) -> Column:
