@@ -28,6 +28,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -176,9 +178,11 @@ _SLOT = (
 )
 SLOT = re.compile(_SLOT)
 #: The same for the JVM's filter, coarser: it may let too much pass, never too little.
-SLOT_JVM = r"\{\{|\$\{|\{%|<%|%%|%[\p{Lu}_]{3,}%|\[\[|<<|__|@@|#[A-Z_]{3,}#|\[\p{Lu}[\p{Lu}_ -]+\]|XX"
+SLOT_MARKS = ("{{", "${", "{%", "<%", "%%", "[[", "<<", "__", "@@", "XX")
+SLOT_PATTERNS = (("%", r"%[\p{Lu}_]{3,}%"), ("#", r"#[A-Z_]{3,}#"), ("[", r"\[\p{Lu}[\p{Lu}_ -]+\]"))
 #: Eight words of which four fifths are filler have three such words in a row.
-FILLER_JVM = r"(?:\b(?:" + "|".join(sorted(FILLER)) + r")\p{L}*[^\p{L}\p{N}]+){3}"
+_BY_LETTER = {f[0]: sorted(g[1:] for g in FILLER if g[0] == f[0]) for f in sorted(FILLER)}
+FILLER_JVM = r"(?:\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\p{L}*[^\p{L}\p{N}]+){3}"
 OPEN_QUOTES, CLOSE_QUOTES = "“„«‘‹\"'", "”“»’›\"'"
 #: Windows end with sentences; what stands in brackets is a window of its own.
 SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+|(?<=[。！？])|(?=(?<!\[)\[(?!\[)[^\[\]\n]*[a-zà-þ][^\[\]\n]*\])|(?<=[a-zà-þ]\])\s")
@@ -289,13 +293,15 @@ def found(items: DataFrame, key: str = "item_id", source: str = "institution", t
     """(key) of each record to be excluded."""
     rows = items.select(F.col(key).alias("tw_key"), F.col(source).alias("tw_src"), F.col(text).alias("tw_body"))
     vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, ts in _exemplars() for t in ts})])
-    words = F.array_distinct(F.split(F.lower("tw_body"), r"[^\p{L}\p{N}]+"))
+    words = F.split(F.lower("tw_body"), r"[^\p{L}\p{N}]+")
     counted = rows.select(F.explode(F.array_intersect(words, vocabulary)).alias("token")).groupBy("token").count()
     counts = {r["token"]: r["count"] for r in counted.collect()}  # at most one row per exemplar token
     documents = rows.where("tw_body IS NOT NULL").count()
     index = Index(counts, documents)
     keys = [k for k in index.keys() if k != "0"]
-    some = F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys])) | F.col("tw_body").rlike(SLOT_JVM) | F.lower("tw_body").rlike(FILLER_JVM)
+    body = F.col("tw_body")
+    slot = reduce(or_, [body.contains(m) for m in SLOT_MARKS] + [body.contains(m) & body.rlike(p) for m, p in SLOT_PATTERNS])
+    some = slot | F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys])) | F.lower("tw_body").rlike(FILLER_JVM)
     suspects = clean(rows, "tw_src", "tw_body", keep=some)
     kind = suspects.schema["tw_key"].dataType.simpleString()
 
