@@ -309,3 +309,25 @@ def to_utc(reading: Reading | None, zone: str | None) -> datetime | None:
         return reading.local - offset
     except OverflowError:
         return None
+
+
+def feed_instant(text: str | None) -> datetime | None:
+    """Date of a feed entry as an instant in UTC; without a zone it is UTC."""
+    return to_utc(read(text), "UTC") if text else None
+
+
+_PDF = re.compile(r"D?:?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z)|([+-])(\d{2})'?(\d{2})?'?)?")
+
+
+def pdf_instant(text: str | None, zone: str = "UTC") -> datetime | None:
+    """A document's ``D:YYYYMMDDhhmmss`` date as an instant in UTC; fields left out are the earliest."""
+    m = _PDF.match(text or "")
+    if not m:
+        return None
+    y, mo, d, h, mi, s, utc, sign, oh, om = m.groups()
+    try:
+        local = datetime(int(y), int(mo or 1), int(d or 1), int(h or 0), int(mi or 0), int(s or 0))
+    except ValueError:
+        return None
+    offset = 0 if utc else (int(oh) * 60 + int(om or 0)) * (-1 if sign == "-" else 1) if oh else None
+    return to_utc(Reading(local, offset), zone)

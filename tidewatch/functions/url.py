@@ -86,3 +86,62 @@ def normalize_url(c: Column) -> Column:
 def host_of(c: Column) -> Column:
     """Lower-case host without port and user."""
     return F.lower(F.regexp_extract(strip_white(c), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
+
+
+def path_of(c: Column) -> Column:
+    """Path of a URL, lower case; '' if there is none."""
+    return F.lower(F.regexp_extract(strip_white(c), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+
+
+def cache_url(c: Column) -> Column:
+    """The looser form under which pages are cached: lower-case scheme and host, no trailing slash, no fragment."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#;]*)(?:;[^?#]*)?(\?[^#]*)?.*$"
+    raw = strip_white(c)
+    path = F.regexp_extract(raw, parts, 2)
+    bare = F.regexp_replace(path, "/+$", "")
+    return F.concat(F.lower(F.regexp_extract(raw, parts, 1)), F.when(bare == "", path).otherwise(bare), F.regexp_replace(F.regexp_extract(raw, parts, 3), r"^\?$", ""))
+
+
+def item_type(c: Column) -> Column:
+    """Kind of item by its path: event, podcast or report."""
+    path = path_of(c)
+    return F.when(path.contains("/event"), "event").when(path.rlike("/podcast|/video"), "podcast").otherwise("report")
+
+
+def within_domain(host: Column, domain: Column) -> Column:
+    """The domain itself or a name below it."""
+    return (host == F.lower(domain)) | host.endswith(F.concat(F.lit("."), F.lower(domain)))
+
+
+def domain_suffixes(host: Column) -> Column:
+    """The host and all domains above it, for equality joins with a registry of domains."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def resolve_canonical_text(raw: str | None, fallback: str | None) -> str:
+    """A stated canonical URL made absolute, if it stays on the page's host and isn't the root of a deeper page."""
+    from urllib.parse import urljoin
+
+    page = (fallback or "").split("#")[0].strip()
+    stated = (raw or "").split("#")[0].strip()
+    if not (stated or page):
+        return ""
+    try:
+        found, own = urlsplit(urljoin(page, stated or page)), urlsplit(page)
+        host, own_host = found.hostname or "", own.hostname or ""
+    except ValueError:
+        return page
+    glued = re.search(r"https?://", (found.netloc + found.path).lower()) or found.netloc.lower().endswith(("http:", "https:"))
+    if found.scheme not in ("http", "https") or not found.netloc or glued:
+        return page
+    if host.removeprefix("www.") != own_host.removeprefix("www."):
+        return page
+    if found.path in ("", "/") and own.path not in ("", "/"):
+        return page
+    return f"{found.scheme}://{found.netloc.lower()}{found.path or '/'}" + (f"?{found.query}" if found.query else "")
+
+
+@F.pandas_udf(T.StringType())
+def resolve_canonical(raw: pd.Series, fallback: pd.Series) -> pd.Series:
+    return pd.Series([resolve_canonical_text(r, f) for r, f in zip(raw, fallback)])
