@@ -102,21 +102,25 @@ def clean(
     per_source = materialize(
         frequent.groupBy("tw_source").agg(F.collect_list(F.struct("h1", "h2")).alias("tw_frequent")), "site-line-sets"
     )
-    lines = F.split(F.col(text), "\n", -1)
+    columns = docs.columns
     docs = docs if keep is None else docs.where(keep)
-    joined = docs.join(broadcast_if_small(per_source, 10_000), F.col(source).eqNullSafe(F.col("tw_source")), "left")
+    # the document's own columns stand apart, whatever they are called
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("tw_doc"))
+    own, body = F.col("tw_doc").getField(source), F.col("tw_doc").getField(text)
+    joined = whole.join(broadcast_if_small(per_source, 10_000), own.eqNullSafe(F.col("tw_source")), "left")
+    lines = F.split(body, "\n", -1)
 
     def kept(pair: Column) -> Column:
         key = pair["key"]
-        h1, h2 = digest128(F.col(source), key)
+        h1, h2 = digest128(own, key)
         hit = F.array_contains(F.col("tw_frequent"), F.struct(h1.alias("h1"), h2.alias("h2")))
         return (key == "") | ~F.coalesce(hit, F.lit(False))
 
-    pairs = F.arrays_zip(lines.alias("line"), line_keys(F.col(text)).alias("key"))
+    pairs = F.arrays_zip(lines.alias("line"), line_keys(body).alias("key"))
     left = F.filter(pairs, kept)
     rebuilt = F.array_join(F.transform(left, lambda p: p["line"]), "\n")
     return joined.select(
-        *[docs[c] for c in docs.columns if c != text],
-        F.when(F.col(text).isNotNull(), rebuilt).alias(text),
-        F.when(F.col(text).isNotNull(), F.size(lines) - F.size(left)).otherwise(0).alias("lines_removed"),
+        *[F.col("tw_doc").getField(c).alias(c) for c in columns if c != text],
+        F.when(body.isNotNull(), rebuilt).alias(text),
+        F.when(body.isNotNull(), F.size(lines) - F.size(left)).otherwise(0).alias("lines_removed"),
     )
