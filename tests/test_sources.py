@@ -25,7 +25,7 @@ def test_sitemaps_and_crawl(spark, rows):
     root = "<sitemapindex><sitemap><loc>m1</loc></sitemap><sitemap><loc>root</loc></sitemap></sitemapindex>"
     leaf = "<urlset><url><loc>https://e.org/a</loc><lastmod>2026-01-01</lastmod></url><url><loc> https://e.org/b </loc></url></urlset>"
     snapshot = spark.createDataFrame([("root", root), ("m1", leaf)], "url string, xml string")
-    assert rows(feeds.sitemap_entries(snapshot.where("url = 'm1'"), "url", "xml")) == [("m1", "url", "https://e.org/a", "2026-01-01"), ("m1", "url", "https://e.org/b", None)]
+    assert rows(feeds.sitemap_entries(snapshot.where("url = 'm1'").withColumnRenamed("url", "map"), "map", "xml")) == [("m1", "url", "https://e.org/a", "2026-01-01"), ("m1", "url", "https://e.org/b", None)]
     start = spark.createDataFrame([("s", "root")], "root string, url string")
     assert rows(feeds.crawl(start, snapshot)) == [("s", "https://e.org/a", "2026-01-01"), ("s", "https://e.org/b", None)]
 
