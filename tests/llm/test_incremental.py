@@ -117,3 +117,18 @@ def test_full_filters_are_made_anew(spark, rows, monkeypatch):
     assert inc.admit(store, more).collect() == [] and store.parts == 1
     again = inc.featured(spark.createDataFrame([(3, "m", None, "Some quite different words in another text", 0, "")], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
     assert rows(inc.admit(store, again)) == [(2, 3)]
+
+
+def test_repeats_of_texts_with_many_copies(spark, rows):
+    rnd = random.Random(11)
+    texts = [[f"t{k}w{rnd.randrange(5000)}" for _ in range(150)] for k in range(12)]
+    history = [(100 * k + n, f"k{k}-{n}", f"h{k}-{n}", " ".join(t), 0, "") for k, t in enumerate(texts) for n in range(6)]
+    arrivals = [(9000 + 10 * k + n, None, None, " ".join(edit(rnd, t, 0.1)), 0, 1) for k, t in enumerate(texts) for n in range(3)]
+    got = inc.deduplicate(spark.createDataFrame(history, HISTORY), spark.createDataFrame(arrivals, ARRIVALS))
+    assert rows(got) == sorted(((100 * k, 9000 + 10 * k + n) for k in range(12) for n in range(3)), key=repr)
+
+
+def test_hot_shingles_count_documents(spark):
+    text = "one two three four five " * 9 + "and then the end of it"
+    items = inc.featured(spark.createDataFrame([(i, "k", None, text if i == 0 else f"{i} only here {i}", 0, "") for i in range(4)], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
+    assert len(inc.hot_shingles(items, 4)) == 0

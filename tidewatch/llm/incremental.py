@@ -15,10 +15,10 @@ order of batch and id; only accepted items are matched against.
 Which shingles are kept.  Shingles that stand in ``HOT_SHARE`` of the
 documents or more select nothing.  They are found once, when the store is
 made, and kept with it: at most ``average shingles / HOT_SHARE`` of them.  Of
-every ``WINDOW`` others in a row the smallest hash is stored; a batch is asked
-with all of its others, so one shared shingle in a row of three is enough.
-Texts with few other shingles keep their hot ones too; texts of at most
-``SHORT`` words keep all pairs of words, those of at most ``MIDDLING`` words
+every ``WINDOW`` others in a row the smallest hash is stored.  Texts with few
+other shingles keep their hot ones too.  A batch is asked with all of its
+shingles, hot or not: edits make any text's own ones, so they don't tell which
+ones the text it repeats has kept.  Texts of at most ``SHORT`` words keep all pairs of words, those of at most ``MIDDLING`` words
 all runs of three, so none of these kinds is left out.
 
 Scale.  Equal texts are one class and are compared once.  Fingerprints are
@@ -58,7 +58,7 @@ SHARE = 0.75
 HOT_SHARE = 3e-5
 SHORT = 20
 MIDDLING = 40
-#: A text with fewer other shingles than this keeps its hot ones (in the store; a batch asks with them below half of it).
+#: A text with fewer other shingles than this keeps its hot ones in the store.
 FEW = 24
 BUCKET_PRINTS = 1_000_000
 #: A fingerprint that more classes of a batch share than this links each of them to the first only.
@@ -133,15 +133,13 @@ def prints_stored(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.unique(least)
 
 
-def prints_asked(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def prints_asked(words: np.ndarray) -> np.ndarray:
     """Fingerprints a new text is looked up by."""
     if len(words) <= SHORT:
         return _short_prints(words)
     if len(words) <= MIDDLING:
         return np.unique(shingles(words, 3))
-    all_ = shingles(words)
-    cold = all_[~_within(all_, hot)]
-    return np.unique(all_ if len(cold) < FEW // 2 else cold)
+    return np.unique(shingles(words))
 
 
 def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -308,11 +306,10 @@ class FingerprintStore:
 
     def asked(self, classes: DataFrame) -> DataFrame:
         """(fp, cls, n_words): what the texts of ``classes`` are looked up by."""
-        hot = self.spark.sparkContext.broadcast(self.hot)
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = [prints_asked(_unpacked(w), hot.value) for w in batch["words"]]
+                found = [prints_asked(_unpacked(w)) for w in batch["words"]]
                 sizes = [len(f) for f in found]
                 yield pd.DataFrame(
                     {"fp": np.concatenate(found) if found else np.zeros(0, np.int64), "cls": np.repeat(batch["cls"].to_numpy(np.int64), sizes), "n_words": np.repeat(batch["n_words"].to_numpy(np.int32), sizes)}
@@ -352,7 +349,7 @@ def hot_shingles(items: DataFrame, n: int, share: float = HOT_SHARE) -> np.ndarr
         kept, docs = [], 0
         for batch in batches:
             for w in batch["words"]:
-                kept.append(shingles(_unpacked(w)))
+                kept.append(np.unique(shingles(_unpacked(w))))  # a document counts once
                 docs += 1
             if docs >= 50_000:
                 yield _frequent(kept, docs, share)
