@@ -132,3 +132,23 @@ def test_hot_shingles_count_documents(spark):
     text = "one two three four five " * 9 + "and then the end of it"
     items = inc.featured(spark.createDataFrame([(i, "k", None, text if i == 0 else f"{i} only here {i}", 0, "") for i in range(4)], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
     assert len(inc.hot_shingles(items, 4)) == 0
+
+
+@pytest.mark.parametrize("together", [True])
+def test_a_family_of_variants(spark, rows, monkeypatch, together):
+    rnd = random.Random(13)
+    base = [f"b{rnd.randrange(5000)}" for _ in range(200)]
+    texts = [[f"x{n}" for n in range(150)] + base] + [edit(rnd, base, rnd.choice([0.05, 0.1, 0.2])) for _ in range(2000)]
+    arrivals = [(i, None, None, " ".join(t), 0, 1 + i // 700) for i, t in enumerate(texts)]
+    accepted, expected = [], []
+    for i, t in enumerate(texts):
+        words = inc.word_hashes(" ".join(t))
+        hit = next((j for j, other in accepted if inc.alike(words, other)), None)
+        if hit is None:
+            accepted.append((i, words))
+        else:
+            expected.append((hit, i))
+    if not together:
+        monkeypatch.setattr(inc, "ROWS_AT_ONCE", 1)
+    got = inc.deduplicate(spark.createDataFrame([], HISTORY), spark.createDataFrame(arrivals, ARRIVALS))
+    assert rows(got) == sorted(expected, key=repr)

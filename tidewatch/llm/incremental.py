@@ -25,10 +25,13 @@ Scale.  Equal texts are one class and are compared once.  Fingerprints are
 joined by value and never gathered in one place; a bucket of the filters holds
 ``BUCKET_PRINTS`` of them and is handled by one task.  Pairs are made between
 classes sharing a stored fingerprint that fewer than ``HOT_SHARE`` of the
-documents have.  Within a batch, where many classes share a fingerprint, each
-is paired with the first of them only; who repeats none of the firsts is asked
-again once these are in the store.  Order within a batch is settled by rounds over what is still
-undecided.
+documents have, or that a text with few others has kept.  Within a batch only
+what repeats nothing in the store is paired.  Where more than ``FAMILY``
+classes share a fingerprint, the rows before the next one of them are admitted
+first and the rest is held against what they added, with twice that number
+each time; most of a family then repeats one of a few accepted texts and is
+paired with these only.  No pair is left out.  Order within a batch is settled
+by rounds over what is still undecided.
 
 Defined cases.  Null, empty and blank texts are no text and have no content
 hash unless one is stated.  A null or empty hash is computed.  Rows without
@@ -46,7 +49,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import content_digest, is_blank
@@ -61,7 +64,7 @@ MIDDLING = 40
 #: A text with fewer other shingles than this keeps its hot ones in the store.
 FEW = 24
 BUCKET_PRINTS = 1_000_000
-#: A fingerprint that more classes of a batch share than this links each of them to the first only.
+#: Where more new classes share a fingerprint than this, the rows up to so many of them are admitted first.
 FAMILY = 50
 #: Batches that wait together are admitted in one go up to so many rows; rows are taken in order, so the result is the same.
 ROWS_AT_ONCE = 200_000
@@ -217,17 +220,17 @@ class FingerprintStore:
 
     # -- reading -------------------------------------------------------------
 
-    def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{table}/{i}" for i in range(self.parts)])
+    def _read(self, table: str, since: int = 0) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{table}/{i}" for i in range(since, self.parts)])
 
-    def items(self) -> DataFrame:
-        return self._read("items")
+    def items(self, since: int = 0) -> DataFrame:
+        return self._read("items", since)
 
-    def prints(self) -> DataFrame:
-        return self._read("prints")
+    def prints(self, since: int = 0) -> DataFrame:
+        return self._read("prints", since)
 
-    def filters(self) -> DataFrame:
-        return self._read("filters")
+    def filters(self, since: int = 0) -> DataFrame:
+        return self._read("filters", since)
 
     # -- writing -------------------------------------------------------------
 
@@ -317,8 +320,8 @@ class FingerprintStore:
 
         return classes.select("cls", "n_words", "words").mapInPandas(ask, "fp bigint, cls bigint, n_words int")
 
-    def screened(self, asked: DataFrame) -> DataFrame:
-        """Those of the asked fingerprints that the filters may hold."""
+    def screened(self, asked: DataFrame, since: int = 0) -> DataFrame:
+        """Those of the asked fingerprints that the filters (of the parts from ``since`` on) may hold."""
         bits = self.bits
 
         def screen(key, group: pd.DataFrame, fields: pd.DataFrame) -> pd.DataFrame:
@@ -331,7 +334,7 @@ class FingerprintStore:
             return group.loc[keep, ["fp", "cls", "n_words"]]
 
         keyed = asked.withColumn("bucket", self._bucket(F.col("fp")))
-        return keyed.groupBy("bucket").cogroup(self.filters().groupBy("bucket")).applyInPandas(screen, "fp bigint, cls bigint, n_words int")
+        return keyed.groupBy("bucket").cogroup(self.filters(since).groupBy("bucket")).applyInPandas(screen, "fp bigint, cls bigint, n_words int")
 
 
 def _positions(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -404,37 +407,25 @@ def _near(n: Column, m: Column) -> Column:
     return F.least(n, m) >= SHARE * F.greatest(n, m)
 
 
-def admit(store: FingerprintStore, batch: DataFrame) -> DataFrame:
+def admit(store: FingerprintStore, batch: DataFrame, since: int = 0, family: int | None = None) -> DataFrame:
     """(accepted_id, repeat_id) of each row of ``batch`` that repeats an item; the others are added to the store.
 
     ``batch`` has the columns of ``ITEMS``; its rows are taken in order of ``item_id``.
+    Parts of the store before ``since`` are known to hold nothing that they repeat.
     """
+    family = family or FAMILY
     rows = materialize(batch.dropDuplicates(["item_id"]), "batch")
     texts = rows.where("words IS NOT NULL")
     classes = materialize(texts.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n_words", *SKETCH, "words")]), "batch-classes")
-    items = store.items()
+    items = store.items(since)
 
-    # classes of the batch against stored classes, and against each other
+    # classes of the batch against stored classes
     asked = materialize(store.asked(classes), "asked")
-    stored = store.prints().select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
-    hits = broadcast_if_small(materialize(store.screened(asked), "screened"))
+    stored = store.prints(since).select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
+    hits = broadcast_if_small(materialize(store.screened(asked, since), "screened"))
     outer = stored.join(hits, "fp").where(_near(F.col("n_words"), F.col("m"))).where("cls <> other").select("cls", "other").distinct()
     to_store = materialize(_verified(outer, classes, items.where("words IS NOT NULL")), "links")
 
-    own = materialize(store.kept(classes), "own")
-    shared = materialize(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FAMILY).select("fp"), "shared")
-    families = not shared.isEmpty()
-    rare = own.join(shared, "fp", "left_anti") if families else own
-    one = asked.join(rare.select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m")), "fp")
-    if families:  # no pairs within a family: each of its classes is held against the first
-        firsts = texts.groupBy("cls").agg(F.min("item_id").alias("first"))
-        led = own.join(shared, "fp", "left_semi").join(firsts, "cls")
-        lead = led.groupBy("fp").agg(F.min_by(F.struct(F.col("cls").alias("other"), F.col("n_words").alias("m")), "first").alias("l")).select("fp", "l.*")
-        one = one.unionByName(asked.join(lead, "fp"))
-    one = one.where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
-    inner = one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
-    among = materialize(_verified(inner, classes, classes), "batch-links")
-
     # what the store decides: the earliest accepted item by hash, by text, or by key
     by_hash = rows.join(_earliest(items, rows, "hash"), "hash").select("item_id", "accepted")
     links = to_store.unionByName(classes.select("cls", F.col("cls").alias("other")))
@@ -445,21 +436,36 @@ def admit(store: FingerprintStore, batch: DataFrame) -> DataFrame:
     by_key = mute.join(_earliest(items, mute, "seen_key"), "seen_key").select("item_id", "accepted")
     known = by_hash.unionByName(by_text).unionByName(by_key).groupBy("item_id").agg(F.min("accepted").alias("accepted"))
     known = materialize(known, "known")
-
-    fresh = rows.select("item_id", "seen_key", "hash", "cls").join(known, "item_id", "left_anti")
-    repeats, accepted = _settle(materialize(fresh, "fresh"), among)
-    found = known.select(F.col("accepted").alias("accepted_id"), F.col("item_id").alias("repeat_id")).unionByName(repeats)
-    if not families:
-        store.add(rows.join(accepted, "item_id", "left_semi"), own)
-        return found
-    # members of a family that repeat none of its firsts are asked again, when those are in the store
-    others = rare.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW // 2).select("cls")
-    follow = led.join(lead, "fp").where("cls <> other").select("cls").distinct().join(others, "cls", "left_anti")
-    accepted = materialize(accepted, "accepted")
-    later = materialize(rows.join(accepted, "item_id", "left_semi").join(follow, "cls", "left_semi").select(*rows.columns), "later")
-    found = materialize(found, "found")
-    store.add(rows.join(accepted, "item_id", "left_semi").join(later.select("item_id"), "item_id", "left_anti"), own)
-    return found if later.isEmpty() else found.unionByName(admit(store, later))
+    found = known.select(F.col("accepted").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
+    fresh = materialize(rows.select("item_id", "seen_key", "hash", "cls").join(known, "item_id", "left_anti"), "fresh")
+
+    # the classes of the other rows against each other, up to where one fingerprint has too many of them
+    firsts = fresh.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("first"))
+    own = materialize(store.kept(classes.join(firsts, "cls", "left_semi")), "own")
+    shared = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > family).select("fp")
+    shared = broadcast_if_small(materialize(shared, "shared"))
+    held = own.select("fp", "cls").join(shared, "fp", "left_semi").join(firsts, "cls")
+    ranked = held.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy("first"))).where(F.col("nth") <= family + 1)
+    cut = ranked.where(F.col("nth") == family + 1).agg(F.min("first")).first()[0]
+    if cut is not None:
+        part, path = store.parts, store.path
+        ahead = rows.join(fresh.where(F.col("item_id") < cut), "item_id", "left_semi")
+        behind = materialize(rows.join(fresh.where(F.col("item_id") >= cut), "item_id", "left_semi"), "behind")
+        found = materialize(found, "found").unionByName(materialize(admit_fresh(store, ahead, fresh.where(F.col("item_id") < cut), classes, asked, own), "ahead"))
+        return found.unionByName(admit(store, behind, part if store.path == path else 0, 2 * family))
+    return found.unionByName(admit_fresh(store, rows.join(fresh, "item_id", "left_semi"), fresh, classes, asked, own))
+
+
+def admit_fresh(store: FingerprintStore, rows: DataFrame, fresh: DataFrame, classes: DataFrame, asked: DataFrame, own: DataFrame) -> DataFrame:
+    """``admit`` for rows that repeat nothing in the store: they are held against each other only."""
+    some = broadcast_if_small(materialize(fresh.where("cls IS NOT NULL").select("cls").distinct(), "fresh-classes"))
+    classes, asked, own = (t.join(some, "cls", "left_semi") for t in (classes, asked, own))
+    one = asked.join(own.select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m")), "fp").where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
+    inner = one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
+    among = materialize(_verified(inner, classes, classes), "batch-links")
+    repeats, accepted = _settle(fresh, among)
+    store.add(rows.join(accepted, "item_id", "left_semi"), own)
+    return repeats
 
 
 def _settle(rows: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
