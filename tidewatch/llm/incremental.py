@@ -66,7 +66,8 @@ FEW = 24
 BUCKET_PRINTS = 1_000_000
 #: Where more new classes share a fingerprint than this, the rows up to so many of them are admitted first.
 FAMILY = 50
-#: Batches that wait together are admitted in one go up to so many rows; rows are taken in order, so the result is the same.
+#: Batches that wait together are admitted in one go up to so many rows; rows are taken in order.  A pair within a go is
+#: looked up from both of its texts, one with the store from the new text only, so a go can find more pairs, never fewer.
 ROWS_AT_ONCE = 200_000
 BITS_PER_PRINT = 12
 HASHES = 4
