@@ -46,6 +46,15 @@ def test_residue_operator(spark, rows):
     assert residue.found(df.where("false")).collect() == []
 
 
+def test_residue_in_many_records_of_a_site(spark, rows):
+    notices = [RESIDUE[0], RESIDUE[1], RESIDUE[6], RESIDUE[7].rpartition("\n")[2], RESIDUE[9]]
+    articles = [f"{w} {ARTICLE} Report {w} of the board names all of the members who were there." for w in ("one", "two", "three", "four", "five", "six")]
+    data = [(i, "A", t) for i, t in enumerate(n for n in notices for _ in range(8))]
+    data += [(100 + i, "A", t + "\nPlease enable JavaScript to view this page.") for i, t in enumerate(articles)]
+    df = spark.createDataFrame(data, "item_id bigint, institution string, extracted_text string")
+    assert rows(residue.found(df)) == [(i,) for i in sorted(range(40), key=lambda i: repr((i,)))]
+
+
 # -- problem 7 -------------------------------------------------------------------
 
 

@@ -10,7 +10,9 @@ one token whatever they are called; filler is matched on word beginnings.
 A record is excluded if a window holds an unfilled slot, a template phrase or
 filler of the record's own, or if notices cover it: beyond them, the lines the
 site puts into many records (problem 1) and headlines, fewer than
-``CONTENT_WORDS`` words are left.  Windows nearer to an exemplar labelled as a
+``CONTENT_WORDS`` words are left.  Slots, filler and notices in the site's own
+lines are looked for as well, since an error page may be the answer to many
+addresses; they count like notices, so an article beside them stays.  Windows nearer to an exemplar labelled as a
 mention, and slots in quotation marks, only speak of such things.
 
 Scale.  Document counts are taken of the exemplars' tokens only, one row per
@@ -262,36 +264,41 @@ def _is_filler(words: list[str]) -> bool:
     return len(letters) >= FILLER_WORDS and sum(w[:3] in FILLER for w in letters) >= FILLER_SHARE * len(letters)
 
 
-def is_residue(text: str | None, index: Index) -> bool:
-    """Whether a text, its site lines taken out, holds residue where real content belongs."""
+def is_residue(text: str | None, index: Index, own: frozenset[str] | None = None) -> bool:
+    """Whether a text holds residue where real content belongs; with ``own``, all other lines are the site's."""
     if not text or text.isspace():
         return False
     notices, left = 0, 0
     for line in text.split("\n"):
+        mine = own is None or line in own
         for window in SENTENCE.split(line):
             if not window or window.isspace():
                 continue
-            if _own_slot(window, line, index):
-                return True
             words = tokens(SLOT.sub(" ", window))
-            if _is_filler(words):
-                return True
+            if _own_slot(window, line, index) or _is_filler(words):
+                if mine:
+                    return True
+                notices += 1
+                continue
             best = index.scores(set(words))
             mention = best.get("mention", (0.0, 0.0))[0]
             held, covered = best.get("template", (0.0, 0.0))
             if held >= 0.85 and covered >= COVERED and mention < held:
-                return True
+                if mine:
+                    return True
+                notices += 1
+                continue
             held, covered = best.get("notice", (0.0, 0.0))
             if held >= CONTAINED and covered >= COVERED and mention < held:
                 notices += 1
-            elif len(words) > 6 and window.rstrip()[-1:] in ".!?。！？…”’»\"')":
+            elif mine and len(words) > 6 and window.rstrip()[-1:] in ".!?。！？…”’»\"')":
                 left += max(len(words), len(window) // 6)
     return notices > 0 and left < CONTENT_WORDS
 
 
 def found(items: DataFrame, key: str = "item_id", source: str = "institution", text: str = "extracted_text") -> DataFrame:
     """(key) of each record to be excluded."""
-    rows = items.select(F.col(key).alias("tw_key"), F.col(source).alias("tw_src"), F.col(text).alias("tw_body"))
+    rows = items.select(F.col(key).alias("tw_key"), F.col(source).alias("tw_src"), F.col(text).alias("tw_body"), F.col(text).alias("tw_whole"))
     vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, ts in _exemplars() for t in ts})])
     words = F.split(F.lower("tw_body"), r"[^\p{L}\p{N}]+")
     counted = rows.select(F.explode(F.array_intersect(words, vocabulary)).alias("token")).groupBy("token").count()
@@ -308,7 +315,8 @@ def found(items: DataFrame, key: str = "item_id", source: str = "institution", t
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Index(counts, documents)
         for batch in batches:
-            hit = [is_residue(t, own) for t in batch["tw_body"]]
+            # equal lines are taken out together, so what is left tells which lines are the record's own
+            hit = [is_residue(t, own, None if t is None or t == rest else frozenset(rest.split("\n"))) for t, rest in zip(batch["tw_whole"], batch["tw_body"])]
             yield pd.DataFrame({key: batch.loc[hit, "tw_key"]})
 
-    return suspects.select("tw_key", "tw_body").mapInPandas(check, f"`{key}` {kind}")
+    return suspects.select("tw_key", "tw_body", "tw_whole").mapInPandas(check, f"`{key}` {kind}")
