@@ -120,6 +120,15 @@ def test_body_lines(spark):
     assert not {900, 901, 902} & set(got)
 
 
+def test_long_menu_lines(spark):
+    menu = " | ".join(["Home", "Research", "Events", "Publications", "Experts", "Newsletter"] * 4)
+    data = [(i, h, u, t, f"{x}\n{menu}\n{'-' * 200}") for i, h, u, t, x in site(60)]
+    got = {}
+    for r in page_body.find(pages(spark, data)).collect():
+        got.setdefault(r.capture_id, set()).add(r.line_no)
+    assert len(menu) > page_body.LONG_LINE and all(got[i] == {3, 5, 7, 13} for i in range(60))
+
+
 def test_pages_of_an_empty_table(spark):
     assert page_body.find(pages(spark, [])).collect() == []
 

@@ -309,9 +309,9 @@ class Known:
         self.words, self.forms = headlines
 
     def may_begin(self, line: str) -> bool:
-        """Whether boilerplate begins with the first two words of a long line."""
-        head = _name(["0" if t[0].isdigit() else t for t in itertools.islice((m.group() for m in HEAD_TOKENS.finditer(line.lower())), 2)])
-        return any(head in s for s in self.heads)
+        """Whether boilerplate begins with the first word or two of a long line, or the line has no words."""
+        first = ["0" if t[0].isdigit() else t for t in itertools.islice((m.group() for m in HEAD_TOKENS.finditer(line.lower())), 2)]
+        return not first or any(_name(head) in s for s in self.heads for head in (first[:1], first))
 
     def headline(self, line: str) -> bool | None:
         """Whether a line has the form of a headline; null if no forms are known."""
