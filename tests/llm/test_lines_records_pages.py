@@ -129,6 +129,12 @@ def test_long_menu_lines(spark):
     assert len(menu) > page_body.LONG_LINE and all(got[i] == {3, 5, 7, 13} for i in range(60))
 
 
+def test_phrases_rare_on_each_of_large_hosts(spark):
+    data = [(1000 * h + i, f"h{h}.example", f"https://h{h}.example/{i}", None, f"text q{i}" + "\nWritten by our guests" * (i < n)) for h, n in ((1, 2), (2, 2), (3, 1)) for i in range(250)]
+    table = page_body.boilerplate(page_body._pages(pages(spark, data), "capture_id", "source_host", "url", "extracted_title", "extracted_text"))
+    assert table.where("host IS NULL").where(F.col("phrase") == page_body._name("written by our guests".split())).count() == 1
+
+
 def test_pages_of_an_empty_table(spark):
     assert page_body.find(pages(spark, [])).collect() == []
 

@@ -14,6 +14,7 @@ a date each, are teasers.
 Scale.  A host is split into shards of about ``SHARD_PAGES`` pages by hash of
 the address, so a host with a third of all pages is many groups of bounded
 size; shards report substrings and page counts, which are summed per host.
+None is left out before the sum.
 Every substring kept holds ``HOST_SHARE`` of a host's pages, so a host has at
 most ``segments per page / HOST_SHARE`` of them.  The second pass is a map over
 pages with these tables, broadcast below ``BROADCAST_ROWS`` rows and joined to
@@ -245,9 +246,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
 
     def report(group: pd.DataFrame) -> pd.DataFrame:
         page, _ = pd.factorize(group["url"])
-        few = group["captures"].iloc[0] < SHARD_PAGES / 5
-        least = 1 if few else max(2, int(HOST_SHARE * len(group) / 3))
-        found = repeated(list(group["text"]), page, least)
+        found = repeated(list(group["text"]), page, 1)  # what is rare here may reach a share with other shards and hosts
         found.insert(0, "host", group["host"].iloc[0])
         return found
 
