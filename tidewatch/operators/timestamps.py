@@ -99,12 +99,12 @@ def zones_of(rows: DataFrame, registry: DataFrame, source: str = "institution",
     )
     named = materialize(named.where("tw_source IS NOT NULL"), "zones")
     zoned = named.where("tw_zone IS NOT NULL")
-    missing = rows.join(broadcast_if_small(zoned), F.col(source) == F.col("tw_source"), "left_anti").where(F.col(source).isNotNull())
+    missing = rows.join(broadcast_if_small(zoned, of=named), F.col(source) == F.col("tw_source"), "left_anti").where(F.col(source).isNotNull())
     candidates = [r["tw_zone"] for r in zoned.select("tw_zone").distinct().orderBy("tw_zone").limit(600).collect()]  # the tz database has under 600 zones
     if not candidates or missing.isEmpty():
         return named
     orders = named.select(F.col("tw_source").alias("tw_s"), "tw_order")
-    ordered = missing.join(broadcast_if_small(orders), F.col(source) == F.col("tw_s"), "left")
+    ordered = missing.join(broadcast_if_small(orders, of=named), F.col(source) == F.col("tw_s"), "left")
     guessed = materialize(estimate_zones(ordered, candidates, source, fields, ingested), "zones-estimated")
     guessed = guessed.select(F.col(source).alias("tw_source"), F.col("time_zone").alias("tw_zone"))
     with_order = guessed.join(orders, F.col("tw_source") == F.col("tw_s"), "left").select("tw_source", "tw_zone", "tw_order")
