@@ -61,9 +61,10 @@ def edit(rnd, words, share):
     return out
 
 
-@pytest.mark.parametrize("together", [True, False])
-def test_batches_against_brute_force(spark, rows, monkeypatch, together):
+@pytest.mark.parametrize("parts", [16, 2])
+def test_batches_against_brute_force(spark, rows, monkeypatch, parts):
     rnd = random.Random(7)
+    monkeypatch.setattr(inc, "MAX_PARTS", parts)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [[rnd.choice(vocabulary) for _ in range(rnd.choice([3, 9, 30, 80]))] for _ in range(40)]
     history = [(i, f"k{i}", rnd.choice([None, "", digest(" ".join(t))]), " ".join(t) if i % 9 else None, 0, "") for i, t in enumerate(texts)]
@@ -83,8 +84,6 @@ def test_batches_against_brute_force(spark, rows, monkeypatch, together):
             text = " ".join(fresh)
         arrivals.append((i, f"k{rnd.randrange(60)}", None, text, 0, b))
     arrivals += [(2000, None, None, None, 0, 3), (2001, None, digest(" ".join(texts[1])), None, 0, 3), (2002, "k1", None, "long " * 20_000, 0, 3)]
-    if not together:
-        monkeypatch.setattr(inc, "ROWS_AT_ONCE", 1)
     got = inc.deduplicate(spark.createDataFrame(history, HISTORY), spark.createDataFrame(arrivals, ARRIVALS))
     assert rows(got) == brute(history, arrivals)
 
@@ -109,14 +108,30 @@ def test_common_in_order():
         assert inc.common_in_order(np.array(a), np.array(b)) == lcs(a, b)
 
 
-def test_full_filters_are_made_anew(spark, rows, monkeypatch):
-    history = inc.featured(spark.createDataFrame([(1, "k", None, "a few words of a first text", 0, "")], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
-    store = inc.FingerprintStore.create(history)
-    store.room = 0
-    more = inc.featured(spark.createDataFrame([(2, "l", None, "some quite different words in another text", 0, "")], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
-    assert inc.admit(store, more).collect() == [] and store.parts == 1
-    again = inc.featured(spark.createDataFrame([(3, "m", None, "Some quite different words in another text", 0, "")], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
-    assert rows(inc.admit(store, again)) == [(2, 3)]
+def test_a_store_is_opened_again(spark, rows, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    history = spark.createDataFrame([(1, "k", None, "a few words of a first text", 0, "")], HISTORY)
+    first = spark.createDataFrame([(2, "l", None, "some quite different words in another text", 0, 1), (3, "k", None, None, 0, 1)], ARRIVALS)
+    assert rows(inc.deduplicate(history, first, store_path=path)) == [(1, 3)]
+    other = spark.newSession()
+    more = other.createDataFrame([(4, "m", None, "Some quite different words in another text!", 0, 2), (5, "l", None, "", 0, 2), (2, "l", None, "some quite different words in another text", 0, 1)], ARRIVALS)
+    nothing = other.createDataFrame([], HISTORY)
+    assert rows(inc.deduplicate(nothing, more, store_path=path)) == [(2, 4), (2, 5)]
+    store = inc.FingerprintStore.open(other, path)
+    assert store.meta["done"] == ["1", "2"] and store.classes_held == 2
+    # a batch that was not committed is as if it had never been
+    features = inc.featured(other.createDataFrame([(6, "n", None, "words that nobody has said before in here", 0, 3)], ARRIVALS), "item_id", "seen_item_key", "content_hash", "extracted_text")
+    assert inc.admit(store, features).collect() == []
+    again = inc.FingerprintStore.open(other, path)
+    assert again.classes_held == 2 and inc.admit(again, features).collect() == []
+    # merged parts hold the same
+    monkeypatch.setattr(inc, "MAX_PARTS", 2)
+    again.commit()
+    again.compact()
+    merged = inc.FingerprintStore.open(spark, path)
+    assert len(merged.parts()) < 4 and merged.classes_held == 3
+    repeat = inc.featured(spark.createDataFrame([(7, "o", None, "WORDS that nobody has said before in here", 0, 4), (8, "k", None, None, 0, 4)], ARRIVALS), "item_id", "seen_item_key", "content_hash", "extracted_text")
+    assert rows(inc.admit(merged, repeat)) == [(1, 8), (6, 7)]
 
 
 def test_repeats_of_texts_with_many_copies(spark, rows):
@@ -131,15 +146,15 @@ def test_repeats_of_texts_with_many_copies(spark, rows):
 def test_hot_shingles_count_documents(spark):
     text = "one two three four five " * 9 + "and then the end of it"
     items = inc.featured(spark.createDataFrame([(i, "k", None, text if i == 0 else f"{i} only here {i}", 0, "") for i in range(4)], HISTORY), "item_id", "seen_item_key", "content_hash", "extracted_text")
-    assert len(inc.hot_shingles(items, 4)) == 0
+    assert inc.hot_counts(items, 5).count() == 0
 
 
-@pytest.mark.parametrize("together", [True, False])
-def test_a_family_of_variants(spark, rows, monkeypatch, together):
+@pytest.mark.parametrize("batch_rows", [700, 3000])
+def test_a_family_of_variants(spark, rows, batch_rows):
     rnd = random.Random(13)
     base = [f"b{rnd.randrange(5000)}" for _ in range(200)]
     texts = [[f"x{n}" for n in range(150)] + base] + [edit(rnd, base, rnd.choice([0.05, 0.1, 0.2])) for _ in range(2000)]
-    arrivals = [(i, None, None, " ".join(t), 0, 1 + i // 700) for i, t in enumerate(texts)]
+    arrivals = [(i, None, None, " ".join(t), 0, 1 + i // batch_rows) for i, t in enumerate(texts)]
     accepted, expected = [], []
     for i, t in enumerate(texts):
         words = inc.word_hashes(" ".join(t))
@@ -148,7 +163,5 @@ def test_a_family_of_variants(spark, rows, monkeypatch, together):
             accepted.append((i, words))
         else:
             expected.append((hit, i))
-    if not together:
-        monkeypatch.setattr(inc, "ROWS_AT_ONCE", 1)
     got = inc.deduplicate(spark.createDataFrame([], HISTORY), spark.createDataFrame(arrivals, ARRIVALS))
     assert rows(got) == sorted(expected, key=repr)

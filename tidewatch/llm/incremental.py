@@ -10,22 +10,32 @@ batch reads the history's texts again.
 A row repeats an accepted item if both have one content hash, if at least
 three quarters of the words of the longer text occur in both in the same
 order, or if the row has no text and the item has its key.  Rows are taken in
-order of batch and id; only accepted items are matched against.
-
-Which shingles are kept.  Shingles that stand in ``HOT_SHARE`` of the
-documents or more select nothing.  They are found once, when the store is
-made, and kept with it: at most ``average shingles / HOT_SHARE`` of them.  Of
-every ``WINDOW`` others in a row the smallest hash is stored.  Texts with few
-other shingles keep their hot ones too.  A batch is asked with all of its
-shingles, hot or not: edits make any text's own ones, so they don't tell which
-ones the text it repeats has kept.  Texts of at most ``SHORT`` words keep all pairs of words, those of at most ``MIDDLING`` words
-all runs of three, so none of these kinds is left out.
+order of batch and id, batch after batch; only accepted items are matched
+against, and of several the one with the smallest id is reported.
+
+Which shingles are kept.  Shingles that stand in ``HOT_SHARE`` of the texts or
+more select little.  They are counted when texts enter the store, and kept with
+it with their counts: at most ``HOT_MOST``.  Of every ``WINDOW`` others in a
+row the smallest hash is stored, and of the hot ones the ``HOT_KEPT`` rarest of
+each text, which are those it shares with its look-alikes if it has many.  A
+text with few others has more hot ones stored, ``FEW`` in all.  A batch is asked with
+all of its shingles, hot or not, so which ones are hot decides only what is
+stored, never what is found of it.  Texts of at most ``SHORT`` words are looked
+up by all pairs of words, those of at most ``MIDDLING`` words by all runs of
+three.  A pair of alike texts of which no stored shingle is in both is missed;
+the README has the measured recall.
+
+The store.  A folder with the tables ``signs`` (hashes and keys), ``classes``
+(one row for all items of one text), ``prints``, ``filters`` and ``hot``, each
+in parts (one for each addition) and in buckets by hash, so that a lookup reads
+the buckets that it asks only.  ``meta-N.json`` names the parts that count; it
+is written last, so a run that dies leaves the store as it was, and the next
+run does the batch again.  Parts are merged when there are more than
+``MAX_PARTS``; the many small ones first, all if they have outgrown the first.
 
 Scale.  Equal texts are one class and are compared once.  Fingerprints are
-joined by value and never gathered in one place; a bucket of the filters holds
-``BUCKET_PRINTS`` of them and is handled by one task.  Pairs are made between
-classes sharing a stored fingerprint that fewer than ``HOT_SHARE`` of the
-documents have, or that a text with few others has kept.  Within a batch only
+joined by value and never gathered in one place; a task of the screening holds
+about ``BUCKET_PRINTS`` stored and as many asked ones.  Within a batch only
 what repeats nothing in the store is paired.  Where more than ``FAMILY``
 classes share a fingerprint, the rows before the next one of them are admitted
 first and the rest is held against what they added, with twice that number
@@ -34,65 +44,96 @@ paired with these only.  No pair is left out.  Order within a batch is settled
 by rounds over what is still undecided.
 
 Defined cases.  Null, empty and blank texts are no text and have no content
-hash unless one is stated.  A null or empty hash is computed.  Rows without
-text, hash and key are accepted.  Rows with a null id are left out.  Rows that
-repeat an id of the same batch are one row.  Extra columns are ignored.
+hash unless one is stated.  A null or empty hash is computed.  Texts without
+any word are compared by hash only.  Rows without text, hash and key are
+accepted.  Rows with a null id are left out.  Rows that repeat an id of the
+same batch are one row.  Rows without a batch number come last.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import content_digest, is_blank
-from tidewatch.session import broadcast_if_small, materialize, shared_dir
+from tidewatch.functions.text import content_digest, digest128, is_blank
+from tidewatch.session import broadcast_if_small, keep, materialize, release, remove, scratch, shared_dir
 
 SHINGLE = 5
 WINDOW = 3
 SHARE = 0.75
 HOT_SHARE = 3e-5
+HOT_MOST = 4_000_000
 SHORT = 20
 MIDDLING = 40
-#: A text with fewer other shingles than this keeps its hot ones in the store.
+#: So many of a text's hot shingles are stored, the rarest; more of them if it has few others, up to so many in all.
+HOT_KEPT = 12
 FEW = 24
 BUCKET_PRINTS = 1_000_000
 #: Where more new classes share a fingerprint than this, the rows up to so many of them are admitted first.
 FAMILY = 50
-#: Batches that wait together are admitted in one go up to so many rows; rows are taken in order.  A pair within a go is
-#: looked up from both of its texts, one with the store from the new text only, so a go can find more pairs, never fewer.
-ROWS_AT_ONCE = 200_000
+MAX_PARTS = 16
 BITS_PER_PRINT = 12
 HASHES = 4
+COUNTED_TOGETHER = 50_000
 
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 #: ``s0`` to ``s3`` are a sketch of 256 bits: one is set for each distinct word.
 SKETCH = ("s0", "s1", "s2", "s3")
-ITEMS = "item_id bigint, seen_key string, hash string, cls bigint, n_words int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, words binary"
+_SKETCHED = ", ".join(f"{s} bigint" for s in SKETCH)
+FEATURES = f"item_id bigint, h1 bigint, h2 bigint, k1 bigint, k2 bigint, mute boolean, cls bigint, n_words int, {_SKETCHED}, words binary"
+NARROW = ["item_id", "h1", "h2", "k1", "k2", "mute", "cls"]
+TABLES = {
+    "signs": "x1 bigint, x2 bigint, item_id bigint",
+    "classes": f"cls bigint, item_id bigint, n_words int, {_SKETCHED}, words binary",
+    "prints": "fp bigint, cls bigint, n_words int",
+    "filters": "field binary",
+    "hot": "fp bigint, n bigint",
+}
+
+
+# -- words and shingles of many texts at once --------------------------------------
+
 
+class _Words(dict):
+    """Hash of each word met, four bytes wide as it is stored and shuffled."""
 
-@lru_cache(maxsize=300_000)
-def _word(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) & 0x7FFFFFFF  # four bytes a word, stored and shuffled
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word) & 0x7FFFFFFF
+        return h
+
+
+_word = _Words()
 
 
 def word_hashes(text: str) -> np.ndarray:
-    return np.fromiter(map(_word, WORD.findall(text.casefold())), dtype=np.int64)
+    return _joined([text])[0]
 
 
-def _packed(words: np.ndarray) -> bytes:
-    return words.astype(np.int32).tobytes()
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts end to end, and the number of words of each."""
+    found = [WORD.findall(t.casefold()) for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(map(_word.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(sizes.sum())), sizes
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.int32).astype(np.int64)
+def _unpacked(cells) -> tuple[np.ndarray, np.ndarray]:
+    """The same from stored words."""
+    cells = list(cells)
+    sizes = np.fromiter((len(c) // 4 for c in cells), np.int64, len(cells))
+    return np.frombuffer(b"".join(cells), np.int32).astype(np.int64), sizes
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -101,57 +142,101 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Hash of each run of ``size`` words, in order."""
+def shingles(words: np.ndarray, sizes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``size`` words within one text, in order, and the number of its text."""
     n = len(words) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = np.full(n, size, np.int64)
     for j in range(size):
         h = h * np.int64(1_000_003) + words[j : j + n]
-    return _mix(h)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = owner[:n] == owner[size - 1 :]
+    return _mix(h[inside]), owner[:n][inside]
+
+
+def _whole(words: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A fingerprint of each whole text of ``some``."""
+    ends = np.cumsum(sizes)
+    which = np.flatnonzero(some & (sizes > 0))
+    return np.array([xxhash.xxh64_intdigest(words[ends[i] - sizes[i] : ends[i]].tobytes()) >> 1 for i in which], np.int64), which
+
+
+def _parts(words: np.ndarray, sizes: np.ndarray, short: int, middling: int, all_: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(fingerprints, owners) by kind: of whole texts, pairs, runs of three and of five words.
+
+    Texts of at most ``short`` words have the first two kinds, those of at most
+    ``middling`` words the third, the others the last; with ``all_`` shorter
+    texts have the kinds of longer ones as well.
+    """
+    tiny, small = sizes <= short, sizes <= middling
+    found = [_whole(words, sizes, tiny)]
+    for size, some in ((2, tiny), (3, small if all_ else small & ~tiny), (SHINGLE, np.ones(len(sizes), bool) if all_ else ~small)):
+        if some.all():
+            found.append(shingles(words, sizes, size))
+        elif some.any():
+            fp, owner = shingles(words[np.repeat(some, sizes)], sizes[some], size)
+            found.append((fp, np.flatnonzero(some)[owner]))
+    return found
+
 
+class Hot:
+    """Shingles in many texts, by value, with the logarithm of their counts."""
 
-def _short_prints(words: np.ndarray) -> np.ndarray:
-    whole = np.array([xxhash.xxh64_intdigest(words.tobytes()) >> 1], np.int64)
-    return np.unique(np.concatenate([whole, shingles(words, 2)])) if len(words) else np.zeros(0, np.int64)
+    def __init__(self, fp: np.ndarray, n: np.ndarray):
+        order = np.argsort(fp)
+        self.fp, self.n = fp[order], n[order]
+        self.level = (1 + np.log2(np.maximum(self.n, 1))).astype(np.uint8)
 
+    def with_more(self, fp: np.ndarray, n: np.ndarray) -> Hot:
+        """These and further counts, the highest ``HOT_MOST``."""
+        values, where = np.unique(np.concatenate([self.fp, fp]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([self.n, n]), len(values)).astype(np.int64)
+        most = np.argsort(-counts, kind="stable")[:HOT_MOST]
+        return Hot(values[most], counts[most])
 
-def prints_stored(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Fingerprints kept for an accepted text."""
+    def levels(self, fp: np.ndarray) -> np.ndarray:
+        """0 for what isn't hot."""
+        if not len(self.fp):
+            return np.zeros(len(fp), np.uint8)
+        at = np.minimum(np.searchsorted(self.fp, fp), len(self.fp) - 1)
+        return np.where(self.fp[at] == fp, self.level[at], np.uint8(0))
+
+
+def prints_stored(words: np.ndarray, sizes: np.ndarray, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints kept of accepted texts, and their owners."""
+    kept = []
     # a text may be a third longer than one that is looked up by its shorter runs
-    if len(words) <= SHORT * 4 // 3:
-        return np.unique(np.concatenate([_short_prints(words), shingles(words, 3), shingles(words)]))
-    if len(words) <= MIDDLING * 4 // 3:
-        return np.unique(np.concatenate([shingles(words, 3), shingles(words)]))
-    all_ = shingles(words)
-    cold = all_[~_within(all_, hot)]
-    if len(cold) < FEW:
-        return np.unique(all_)
-    if len(cold) <= WINDOW:
-        return np.unique(cold)
-    least, width = cold, 1
-    while width < WINDOW:  # minima of windows twice as wide, until they are WINDOW wide
-        step = min(width, WINDOW - width)
-        least, width = np.minimum(least[:-step], least[step:]), width + step
-    return np.unique(least)
-
-
-def prints_asked(words: np.ndarray) -> np.ndarray:
-    """Fingerprints a new text is looked up by."""
-    if len(words) <= SHORT:
-        return _short_prints(words)
-    if len(words) <= MIDDLING:
-        return np.unique(shingles(words, 3))
-    return np.unique(shingles(words))
-
-
-def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Membership in a sorted table."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return table[at] == values
+    for fp, owner in _parts(words, sizes, SHORT * 4 // 3, MIDDLING * 4 // 3, True):
+        level = hot.levels(fp)
+        cold = level == 0
+        n_cold = np.bincount(owner[cold], minlength=len(sizes))
+        thinned = (n_cold >= FEW) & (sizes > MIDDLING * 4 // 3)
+        c, t = fp[cold & thinned[owner]], owner[cold & thinned[owner]]
+        if len(c):  # the least of each window, once for the windows in a row that share it
+            least = c[: len(c) - WINDOW + 1].copy()
+            for j in range(1, WINDOW):
+                np.minimum(least, c[j : len(c) - WINDOW + 1 + j], out=least)
+            inside = t[WINDOW - 1 :] == t[: len(t) - WINDOW + 1]
+            least, own = least[inside], t[: len(t) - WINDOW + 1][inside]
+            new = np.ones(len(least), bool)
+            new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+            kept.append((least[new], own[new]))
+        rest = cold & ~thinned[owner]
+        kept.append((fp[rest], owner[rest]))
+        # the rarest hot ones: all that a text with many look-alikes shares with them is hot
+        f, t, l = fp[~cold], owner[~cold], level[~cold]
+        order = np.lexsort((f, l, t))
+        f, t = f[order], t[order]
+        first = np.arange(len(t)) - np.searchsorted(t, t) < np.maximum(HOT_KEPT, FEW - n_cold)[t]
+        kept.append((f[first], t[first]))
+    return np.concatenate([f for f, _ in kept]), np.concatenate([t for _, t in kept])
+
+
+def prints_asked(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints that new texts are looked up by, and their owners."""
+    found = _parts(words, sizes, SHORT, MIDDLING, False)
+    return np.concatenate([f for f, _ in found]), np.concatenate([t for _, t in found])
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
@@ -179,103 +264,242 @@ def alike(a: np.ndarray, b: np.ndarray, share: float = SHARE) -> bool:
     return common_in_order(a, b) >= need
 
 
-def sketch(words: np.ndarray) -> tuple[int, ...]:
-    bits = np.zeros(256, np.uint8)
-    bits[(words & 255)] = 1
-    return tuple(np.packbits(bits).view(np.int64).tolist())
+def sketches(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Four columns of bits, a row for each text; every text has words."""
+    starts = np.cumsum(sizes) - sizes
+    bit = np.left_shift(np.int64(1), words & 63)
+    lane = (words >> 6) & 3
+    return np.stack([np.bitwise_or.reduceat(np.where(lane == i, bit, 0), starts) for i in range(4)])
 
 
-def featured(rows: DataFrame, key: str, seen_key: str, content_hash: str, text: str) -> DataFrame:
-    """Rows with the columns of ``ITEMS``: hash computed where missing, class and words of the text."""
+def featured(rows: DataFrame, key: str, seen_key: str, content_hash: str, text: str, *more: str) -> DataFrame:
+    """Rows with the columns of ``FEATURES``: hash computed where missing, class and words of the text; ``more`` comes along."""
     blank = is_blank(F.col(text))
     stated = F.when(F.length(F.trim(F.col(content_hash))) > 0, F.lower(F.trim(F.col(content_hash))))
     narrow = rows.where(F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("item_id"),
-        F.when(F.length(F.col(seen_key)) > 0, F.col(seen_key)).alias("seen_key"),
         F.coalesce(stated, content_digest(F.col(text))).alias("hash"),
+        F.when(F.length(F.col(seen_key)) > 0, F.col(seen_key)).alias("key"),
+        blank.alias("mute"),
         F.when(~blank, F.col(text)).alias("text"),
+        *[F.col(c).alias(f"tw_{c}") for c in more],
     )
+    signs = {f"{c[0]}{i}": F.when(F.col(c).isNotNull(), h) for c in ("hash", "key") for i, h in enumerate(digest128(F.lit(c), F.col(c)), 1)}
+    signed = narrow.select("item_id", *[h.alias(n) for n, h in signs.items()], "mute", "text", *[f"tw_{c}" for c in more])
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [None if t is None else word_hashes(t) for t in batch.pop("text")]
-            batch["cls"] = pd.array([None if w is None else xxhash.xxh3_64_intdigest(w.tobytes()) - (1 << 63) for w in words], "Int64")
-            batch["n_words"] = [0 if w is None else len(w) for w in words]
-            for name, column in zip(SKETCH, zip(*[(0, 0, 0, 0) if w is None else sketch(w) for w in words])):
-                batch[name] = column
-            batch["words"] = [None if w is None else _packed(w) for w in words]
-            yield batch
+            texts = batch.column(names.index("text")).to_pylist()
+            there = np.array([i for i, t in enumerate(texts) if t is not None], np.int64)
+            words, sizes = _joined([texts[i] for i in there.tolist()])
+            there, sizes = there[sizes > 0], sizes[sizes > 0]
+            n, ends, narrow = len(texts), np.cumsum(sizes), words.astype(np.int32)
+            cells: list[bytes | None] = [None] * n
+            classes: list[int | None] = [None] * n
+            for i, end, size in zip(there.tolist(), ends.tolist(), sizes.tolist()):
+                cells[i] = narrow[end - size : end].tobytes()
+                classes[i] = xxhash.xxh3_64_intdigest(cells[i]) - (1 << 63)
+            counts, drawn = np.zeros(n, np.int32), np.zeros((4, n), np.int64)
+            counts[there] = sizes
+            if len(there):
+                drawn[:, there] = sketches(words, sizes)
+            made = {"cls": pa.array(classes, pa.int64()), "n_words": pa.array(counts), **{s: pa.array(d) for s, d in zip(SKETCH, drawn)}, "words": pa.array(cells, pa.binary())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(names.index(c)) for c in wanted], names=wanted)
+
+    kinds, names = dict(signed.dtypes), signed.columns
+    schema = ", ".join([FEATURES, *[f"tw_{c} {kinds[f'tw_{c}']}" for c in more]])
+    wanted = [c.split(" ")[0] for c in schema.split(", ")]
+    return signed.mapInArrow(features, schema)
+
+
+def _exploded(batches: Iterator[pd.DataFrame], prints) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        words, sizes = _unpacked(batch["words"])
+        fp, owner = prints(words, sizes)
+        yield pd.DataFrame({"fp": fp, "cls": batch["cls"].to_numpy(np.int64)[owner], "n_words": batch["n_words"].to_numpy(np.int32)[owner]})
+
+
+def _asked(classes: DataFrame) -> DataFrame:
+    """(fp, cls, n_words): what the texts of ``classes`` are looked up by."""
+    return classes.select("cls", "n_words", "words").mapInPandas(lambda batches: _exploded(batches, prints_asked), TABLES["prints"])
+
+
+def hot_counts(classes: DataFrame, least: float) -> DataFrame:
+    """(fp, n) of shingles in at least ``least`` texts.
+
+    They are counted over ``COUNTED_TOGETHER`` texts at a time; one met once
+    only among these doesn't count there, so counts may come out lower than
+    they are.  They decide what is stored of a text, not what is found.
+    """
 
-    return narrow.mapInPandas(features, ITEMS)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        texts = 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and len(batch):
+                words, sizes = _unpacked(batch["words"])
+                for fp, owner in _parts(words, sizes, SHORT * 4 // 3, MIDDLING * 4 // 3, True):
+                    order = np.lexsort((owner, fp))
+                    fp, owner = fp[order], owner[order]
+                    once = np.ones(len(fp), bool)  # a text counts once
+                    once[1:] = (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])
+                    held.append(fp[once])
+                texts += len(batch)
+            if held and (batch is None or texts >= COUNTED_TOGETHER):
+                fp, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pd.DataFrame({"fp": fp[n > 1], "n": n[n > 1]})
+                held, texts = [], 0
 
+    counted = classes.select("words").mapInPandas(count, TABLES["hot"])
+    return counted.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
-class FingerprintStore:
-    """Accepted items, their fingerprints and the Bloom filters, under one folder."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.hot = np.zeros(0, np.int64)
-        self.buckets, self.bits, self.room = 1, 8 * 1024, 0
-        self.parts = 0
+# -- the store ---------------------------------------------------------------------
 
-    # -- reading -------------------------------------------------------------
 
-    def _read(self, table: str, since: int = 0) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/{table}/{i}" for i in range(since, self.parts)])
+def _spread(c: str, buckets: int) -> Column:
+    return F.pmod(F.shiftright(F.col(c), 40), F.lit(buckets)).cast("int")
 
-    def items(self, since: int = 0) -> DataFrame:
-        return self._read("items", since)
 
-    def prints(self, since: int = 0) -> DataFrame:
-        return self._read("prints", since)
+class FingerprintStore:
+    """Accepted items, their fingerprints and the Bloom filters, under one folder."""
 
-    def filters(self, since: int = 0) -> DataFrame:
-        return self._read("filters", since)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version = 0
+        #: parts that count: name -> {"prints": n, "classes": n}; buckets of prints and filters, of classes and signs; batches admitted
+        self.meta: dict = {"parts": {}, "buckets": 4, "class_buckets": 1, "next": 0, "done": []}
+        self._hot: Hot | None = None
 
-    # -- writing -------------------------------------------------------------
+    # -- opening and committing ------------------------------------------------
 
     @classmethod
     def create(cls, items: DataFrame, path: str | None = None) -> FingerprintStore:
-        """A store holding ``items`` (columns as in ``ITEMS``) as accepted."""
-        store = cls(items.sparkSession, path)
-        items.write.parquet(f"{store.path}/items/0")
-        stored = store.spark.read.parquet(f"{store.path}/items/0")
-        store.hot = hot_shingles(stored, stored.count())
-        store.kept(stored).write.parquet(f"{store.path}/prints/0")
-        written = store.spark.read.parquet(f"{store.path}/prints/0")
-        count = written.count()
-        store._size(2 * count)
-        store._write_filters(written, 0)
-        store.room -= count
-        store.parts = 1
+        """A store holding ``items`` (columns as in ``FEATURES``) as accepted."""
+        store = cls(items.sparkSession, path or f"{shared_dir(items.sparkSession)}/fingerprints-{uuid.uuid4().hex}")
+        with scratch(store.spark):
+            items = materialize(items, "history")
+            firsts = items.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("item_id"), F.max("n_words").alias("n_words"))
+            firsts = materialize(firsts, "history-classes")
+            n, words = firsts.agg(F.count(F.lit(1)), F.sum("n_words")).first()
+            # about half of the shingles are kept; twice as many find room
+            store.meta["buckets"] = max(4, -(-(words or 0) // BUCKET_PRINTS))
+            store.meta["class_buckets"] = max(1, store.meta["buckets"] // 8)
+            copies = items.select("cls", "item_id").join(firsts.select("cls", F.col("item_id").alias("first")), "cls").where("item_id <> first")
+            copies = broadcast_if_small(materialize(copies.select("cls", "item_id"), "copies"))
+            store._add(items.select(*NARROW), items.where("cls IS NOT NULL").join(copies, ["cls", "item_id"], "left_anti"), n)
+            store.commit()
         return store
 
-    def _size(self, prints: int) -> None:
-        self.buckets = max(4, -(-prints // BUCKET_PRINTS))
-        self.room = max(10_000, prints)
-        self.bits = 1 << max(13, (self.room * BITS_PER_PRINT // self.buckets).bit_length())
-
-    def _bucket(self, c: Column) -> Column:
-        return F.pmod(F.shiftright(c, 40), F.lit(self.buckets)).cast("int")
-
-    def kept(self, items: DataFrame) -> DataFrame:
-        """(fp, cls, n_words): what is stored of the texts of ``items``."""
-        hot = self.spark.sparkContext.broadcast(self.hot)
-
-        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [prints_stored(_unpacked(w), hot.value) for w in batch["words"]]
-                sizes = [len(f) for f in found]
-                yield pd.DataFrame(
-                    {"fp": np.concatenate(found) if found else np.zeros(0, np.int64), "cls": np.repeat(batch["cls"].to_numpy(np.int64), sizes), "n_words": np.repeat(batch["n_words"].to_numpy(np.int32), sizes)}
-                )
-
-        classes = items.where("words IS NOT NULL").select("cls", "n_words", "words")
-        return classes.mapInPandas(keep, "fp bigint, cls bigint, n_words int")
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintStore | None:
+        """The store kept at ``path`` as it was last committed; null if there is none."""
+        store = cls(spark, path)
+        where, fs = store._file("")
+        names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+        versions = [int(m[1]) for name in names if (m := re.fullmatch(r"meta-(\d+)\.json", name))]
+        if not versions:
+            return None
+        store.version = max(versions)
+        stream = fs.open(store._file(f"meta-{store.version}.json")[0])
+        try:
+            store.meta = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+        return store
 
-    def _write_filters(self, prints: DataFrame, part: int) -> None:
-        bits = self.bits
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def commit(self) -> None:
+        """Make the parts added so far count; fails if another writer was faster."""
+        path, fs = self._file(f"meta-{self.version + 1}.json")
+        half, _ = self._file(f"half-{uuid.uuid4().hex}")
+        out = fs.create(half, False)
+        try:
+            out.write(bytearray(json.dumps(self.meta).encode()))
+        finally:
+            out.close()
+        if fs.exists(path) or not fs.rename(half, path):
+            fs.delete(half, False)
+            raise RuntimeError(f"{self.path} was changed by another writer")
+        self.version += 1
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+    @property
+    def classes_held(self) -> int:
+        return sum(p["classes"] for p in self.meta["parts"].values())
+
+    # -- reading ---------------------------------------------------------------
+
+    def _read(self, name: str, parts: list[str], hit: list[int] | None = None) -> DataFrame:
+        """A table's parts; of the buckets only those in ``hit``."""
+        where = f"{self.path}/{name}"
+        rows = self.spark.read.schema(f"{TABLES[name]}, part int, bucket int").option("basePath", where).parquet(*[f"{where}/part={p}" for p in parts])
+        return rows if hit is None else rows.where(F.col("bucket").isin(hit))
+
+    def parts(self, since: int = 0) -> list[str]:
+        return [p for p in self.meta["parts"] if int(p) >= since]
+
+    def hot(self) -> Hot:
+        if self._hot is None:
+            self._hot = Hot(np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for p in self.parts():
+                self._grow_hot(p)
+        return self._hot
+
+    def _grow_hot(self, part: str) -> None:
+        more = self.spark.read.schema(TABLES["hot"]).parquet(f"{self.path}/hot/part={part}").toArrow()  # at most HOT_MOST rows
+        self._hot = self._hot.with_more(more["fp"].to_numpy(), more["n"].to_numpy())
+
+    # -- adding ----------------------------------------------------------------
+
+    def _write(self, df: DataFrame, name: str, part: int, order: str | None = None) -> None:
+        df = df.repartition("bucket")
+        df = df.sortWithinPartitions("bucket", order) if order else df
+        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/part={part}")
+
+    def kept(self, classes: DataFrame) -> DataFrame:
+        """(fp, cls, n_words): what is stored of the texts of ``classes``."""
+        hot = self.spark.sparkContext.broadcast(self.hot())  # at most HOT_MOST entries
+        return classes.select("cls", "n_words", "words").mapInPandas(lambda batches: _exploded(batches, lambda w, s: prints_stored(w, s, hot.value)), TABLES["prints"])
+
+    def learn_hot(self, classes: DataFrame, held: int, part: int) -> None:
+        """Count the shingles of new texts and keep what is hot with the part."""
+        least = max(5.0, HOT_SHARE * (self.classes_held + held))
+        counts = materialize(hot_counts(classes, least), "hot")
+        # average shingles / HOT_SHARE at most; HOT_MOST whatever the texts are like
+        counts = counts.orderBy(F.desc("n"), "fp").limit(HOT_MOST)
+        counts.write.mode("overwrite").parquet(f"{self.path}/hot/part={part}")
+        self.hot()
+        self._grow_hot(str(part))
+
+    def _add(self, rows: DataFrame, classes: DataFrame, held: int, prints: DataFrame | None = None) -> int:
+        """Write a further part: ``rows`` with ``NARROW``'s columns, one of each class with its words, and its prints."""
+        part = self.meta["next"]
+        self.meta["next"] += 1
+        b, cb = self.meta["buckets"], self.meta["class_buckets"]
+        signs = rows.select("item_id", F.inline(F.array(F.struct(F.col("h1").alias("x1"), F.col("h2").alias("x2")), F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2"))))).where("x1 IS NOT NULL")
+        signs = signs.groupBy("x1", "x2").agg(F.min("item_id").alias("item_id"))
+        self._write(signs.withColumn("bucket", _spread("x1", cb)), "signs", part)
+        columns = [c.split(" ")[0] for c in TABLES["classes"].split(", ")]
+        self._write(classes.select(*columns, _spread("cls", cb).alias("bucket")), "classes", part)
+        written = self._read("classes", [str(part)])
+        self.learn_hot(written, held, part)
+        if prints is None:
+            prints = self.kept(written)
+        self._write(prints.withColumn("bucket", _spread("fp", b)), "prints", part, "fp")
+        self._filter(part)
+        return part
+
+    def _filter(self, part: int) -> None:
+        """Bloom filters of a part, one for each bucket, sized by what the part holds."""
+        written = self._read("prints", [str(part)])
+        n = written.count()
+        bits = 1 << max(10, (n * BITS_PER_PRINT // self.meta["buckets"]).bit_length())
 
         def fill(group: pd.DataFrame) -> pd.DataFrame:
             field = np.zeros(bits // 8, np.uint8)
@@ -283,59 +507,84 @@ class FingerprintStore:
                 np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
             return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "field": [field.tobytes()]})
 
-        keyed = prints.select(self._bucket(F.col("fp")).alias("bucket"), "fp")
-        keyed.groupBy("bucket").applyInPandas(fill, "bucket int, field binary").write.parquet(f"{self.path}/filters/{part}")
-
-    def add(self, items: DataFrame, prints: DataFrame) -> None:
-        """Accept further items with their fingerprints; filters that are full are made anew at twice the size."""
-        part = self.parts
-        items.select("item_id", "seen_key", "hash", "cls", "n_words", *SKETCH, "words").write.parquet(f"{self.path}/items/{part}")
-        new = self.spark.read.parquet(f"{self.path}/items/{part}")
-        prints.join(new.select("cls").distinct(), "cls", "left_semi").select("fp", "cls", "n_words").write.parquet(f"{self.path}/prints/{part}")
-        written = self.spark.read.parquet(f"{self.path}/prints/{part}")
-        self.parts += 1
-        self.room -= written.count()
-        if self.room < 0:
-            everything = self.prints()
-            self._size(2 * everything.count())
-            self.path, old = f"{self.path}-{part}", self.path
-            for table in ("items", "prints"):
-                self.spark.read.parquet(*[f"{old}/{table}/{i}" for i in range(self.parts)]).write.parquet(f"{self.path}/{table}/0")
-            self.parts = 1
-            self._write_filters(self.prints(), 0)
-        else:
-            self._write_filters(written, part)
-
-    # -- asking --------------------------------------------------------------
-
-    def asked(self, classes: DataFrame) -> DataFrame:
-        """(fp, cls, n_words): what the texts of ``classes`` are looked up by."""
-
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [prints_asked(_unpacked(w)) for w in batch["words"]]
-                sizes = [len(f) for f in found]
-                yield pd.DataFrame(
-                    {"fp": np.concatenate(found) if found else np.zeros(0, np.int64), "cls": np.repeat(batch["cls"].to_numpy(np.int64), sizes), "n_words": np.repeat(batch["n_words"].to_numpy(np.int32), sizes)}
-                )
-
-        return classes.select("cls", "n_words", "words").mapInPandas(ask, "fp bigint, cls bigint, n_words int")
-
-    def screened(self, asked: DataFrame, since: int = 0) -> DataFrame:
-        """Those of the asked fingerprints that the filters (of the parts from ``since`` on) may hold."""
-        bits = self.bits
+        fields = written.select("bucket", "fp").groupBy("bucket").applyInPandas(fill, "bucket int, field binary")
+        fields.write.mode("overwrite").parquet(f"{self.path}/filters/part={part}")
+        classes = self._read("classes", [str(part)]).count()
+        self.meta["parts"][str(part)] = {"prints": n, "classes": classes}
+
+    def compact(self) -> None:
+        """Merge parts if there are too many: all but the first, or all with more buckets if these have outgrown it."""
+        first, *others = self.parts()
+        if len(others) + 1 <= MAX_PARTS:
+            return
+        counts = self.meta["parts"]
+        if sum(counts[p]["prints"] for p in others) >= counts[first]["prints"]:
+            others = [first, *others]
+            self.meta["buckets"] = max(4, -(-2 * sum(p["prints"] for p in counts.values()) // BUCKET_PRINTS))
+            self.meta["class_buckets"] = max(1, self.meta["buckets"] // 8)
+        part = self.meta["next"]
+        self.meta["next"] += 1
+        b, cb = self.meta["buckets"], self.meta["class_buckets"]
+        signs = self._read("signs", others).groupBy("x1", "x2").agg(F.min("item_id").alias("item_id"))
+        self._write(signs.withColumn("bucket", _spread("x1", cb)), "signs", part)
+        self._write(self._read("classes", others).drop("part").withColumn("bucket", _spread("cls", cb)), "classes", part)
+        self._write(self._read("prints", others).drop("part").withColumn("bucket", _spread("fp", b)), "prints", part, "fp")
+        hot = self.spark.read.schema(TABLES["hot"]).parquet(*[f"{self.path}/hot/part={p}" for p in others])
+        hot.groupBy("fp").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.path}/hot/part={part}")
+        for p in others:
+            del counts[p]
+        self._filter(part)
+        self.commit()
+        for name in TABLES:
+            for p in others:
+                remove(self.spark, f"{self.path}/{name}/part={p}")
+
+    # -- asking ----------------------------------------------------------------
+
+    def screened(self, asked: DataFrame, expected: int, texts: int, parts: list[str]) -> DataFrame:
+        """Those of about ``expected`` asked fingerprints of ``texts`` texts that the filters of ``parts`` may hold."""
+        buckets = self.meta["buckets"]
+        # so that a task has about BUCKET_PRINTS of them, though all texts may ask one fingerprint
+        salts = -(-(expected // buckets + texts) // BUCKET_PRINTS)
 
         def screen(key, group: pd.DataFrame, fields: pd.DataFrame) -> pd.DataFrame:
-            if not len(fields) or not len(group):
-                return group[["fp", "cls", "n_words"]].iloc[:0]
-            field = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in fields["field"]])
-            keep = np.ones(len(group), bool)
-            for at in _positions(group["fp"].to_numpy(np.int64), bits):
-                keep &= (field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            return group.loc[keep, ["fp", "cls", "n_words"]]
-
-        keyed = asked.withColumn("bucket", self._bucket(F.col("fp")))
-        return keyed.groupBy("bucket").cogroup(self.filters(since).groupBy("bucket")).applyInPandas(screen, "fp bigint, cls bigint, n_words int")
+            fp = group["fp"].to_numpy(np.int64)
+            hit = np.zeros(len(fp), bool)
+            for field in fields["field"] if len(fp) else ():
+                bits = np.frombuffer(field, np.uint8)
+                maybe = np.ones(len(fp), bool)
+                for at in _positions(fp, 8 * len(bits)):
+                    maybe &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                hit |= maybe
+            return group.loc[hit, ["fp", "cls", "n_words"]]
+
+        keyed = asked.withColumn("bucket", _spread("fp", buckets)).withColumn("salt", F.pmod(F.col("cls"), F.lit(salts)).cast("int"))
+        filters = self.spark.read.schema("bucket int, field binary").parquet(*[f"{self.path}/filters/part={p}" for p in parts])
+        dealt = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return keyed.groupBy("bucket", "salt").cogroup(dealt.groupBy("bucket", "salt")).applyInPandas(screen, TABLES["prints"])
+
+    def matches(self, classes: DataFrame, texts: int, words: int, since: int) -> DataFrame:
+        """(cls, accepted): the first item with a text like that of each of ``classes``, in the parts from ``since`` on."""
+        parts = self.parts(since)
+        hits = materialize(self.screened(_asked(classes), words, texts, parts), "hits")
+        asked = [r[0] for r in hits.select(_spread("fp", self.meta["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
+        stored = self._read("prints", parts, asked).select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
+        pairs = stored.join(broadcast_if_small(hits), "fp").where(_near(F.col("n_words"), F.col("m"))).select("cls", "other").distinct()
+        pairs = materialize(pairs, "pairs")
+        asked = [r[0] for r in pairs.select(_spread("other", self.meta["class_buckets"]).alias("b")).distinct().collect()]
+        links = _verified(pairs, classes, self._read("classes", parts, asked))
+        return materialize(links.groupBy("cls").agg(F.min("item_id").alias("accepted")), "links")
+
+    def known_signs(self, rows: DataFrame, since: int) -> DataFrame:
+        """(item_id, accepted): the first item with the content hash of a row, or with the key of one without text."""
+        own = F.struct(F.col("h1").alias("x1"), F.col("h2").alias("x2"))
+        mute = F.when(F.col("mute"), F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2")))
+        asked = rows.select("item_id", F.inline(F.array(own, mute))).where("x1 IS NOT NULL")
+        values = materialize(asked.select("x1", "x2").distinct(), "signs")
+        hit = [r[0] for r in values.select(_spread("x1", self.meta["class_buckets"]).alias("b")).distinct().collect()]
+        stored = self._read("signs", self.parts(since), hit).join(broadcast_if_small(values), ["x1", "x2"], "left_semi")
+        first = stored.groupBy("x1", "x2").agg(F.min("item_id").alias("accepted"))
+        return asked.join(first, ["x1", "x2"]).select("item_id", "accepted")
 
 
 def _positions(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -345,127 +594,96 @@ def _positions(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def hot_shingles(items: DataFrame, n: int, share: float = HOT_SHARE) -> np.ndarray:
-    """Shingles in at least ``share`` of the documents (and in five): sorted, at most average shingles / share of them."""
-    least = max(5.0, share * n)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept, docs = [], 0
-        for batch in batches:
-            for w in batch["words"]:
-                kept.append(np.unique(shingles(_unpacked(w))))  # a document counts once
-                docs += 1
-            if docs >= 50_000:
-                yield _frequent(kept, docs, share)
-                kept, docs = [], 0
-        if docs:
-            yield _frequent(kept, docs, share)
-
-    counted = items.where("words IS NOT NULL").select("words").mapInPandas(count, "fp bigint, n bigint")
-    total = counted.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
-    return np.sort(np.array([r[0] for r in total.toLocalIterator()], np.int64))
-
-
-def _frequent(kept: list[np.ndarray], docs: int, share: float) -> pd.DataFrame:
-    """A shingle in ``share`` of all documents is in half of that share of many of these."""
-    values, counts = np.unique(np.concatenate(kept), return_counts=True)
-    some = counts >= max(2, share * docs / 2)
-    return pd.DataFrame({"fp": values[some], "n": counts[some]})
+def _near(n: Column, m: Column) -> Column:
+    return F.least(n, m) >= SHARE * F.greatest(n, m)
 
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(cls, other): the class pairs whose texts are alike.
+    """(cls, other, item_id) of the written ``pairs`` whose texts are alike; the item is the other's.
 
     Sketches go first: a word of one text whose bit the other lacks is missing
     there, and each missing word costs one at least.  Few pairs are left for
     which the words themselves are fetched.
     """
-    pairs = broadcast_if_small(materialize(pairs, "pairs"))
     a = left.select("cls", F.col("n_words").alias("n"), *[F.col(s).alias(f"a{i}") for i, s in enumerate(SKETCH)])
     b = right.select(F.col("cls").alias("other"), F.col("n_words").alias("m"), *[F.col(s).alias(f"b{i}") for i, s in enumerate(SKETCH)])
     missing, extra = (sum(F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(4)) for x, y in ("ab", "ba"))
     need = SHARE * F.greatest("n", "m")
-    likely = b.join(pairs, "other").join(a, "cls").where((F.col("n") - missing >= need) & (F.col("m") - extra >= need)).select("cls", "other").distinct()
-    likely = broadcast_if_small(materialize(likely, "likely"))
+    a = broadcast_if_small(a, of=left)
+    likely = b.join(broadcast_if_small(pairs), "other").join(a, "cls").where((F.col("n") - missing >= need) & (F.col("m") - extra >= need))
+    likely = broadcast_if_small(materialize(likely.select("cls", "other"), "likely"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            same = [alike(_unpacked(x), _unpacked(y)) for x, y in zip(batch["a"], batch["b"])]
-            yield batch.loc[same, ["cls", "other"]]
+            same = [x == y or alike(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32)) for x, y in zip(batch["a"], batch["b"])]
+            yield batch.loc[same, ["cls", "other", "item_id"]]
 
-    words = right.select(F.col("cls").alias("other"), F.col("words").alias("b")).join(likely, "other")
-    both = words.join(left.select("cls", F.col("words").alias("a")), "cls").select("cls", "other", "a", "b")
-    return both.mapInPandas(check, "cls bigint, other bigint").distinct()
+    words = right.select(F.col("cls").alias("other"), "item_id", F.col("words").alias("b")).join(likely, "other")
+    texts = broadcast_if_small(left.select("cls", F.col("words").alias("a")), of=left)
+    both = words.join(texts, "cls").select("cls", "other", "item_id", "a", "b")
+    return both.mapInPandas(check, "cls bigint, other bigint, item_id bigint")
 
 
-def _earliest(items: DataFrame, asked: DataFrame, by: str) -> DataFrame:
-    """(by, accepted): the first item with each of the asked values."""
-    wanted = broadcast_if_small(asked.where(F.col(by).isNotNull()).select(by).distinct())
-    return items.select(by, "item_id").join(wanted, by, "left_semi").groupBy(by).agg(F.min("item_id").alias("accepted"))
-
-
-def _near(n: Column, m: Column) -> Column:
-    return F.least(n, m) >= SHARE * F.greatest(n, m)
-
-
-def admit(store: FingerprintStore, batch: DataFrame, since: int = 0, family: int | None = None) -> DataFrame:
+def admit(store: FingerprintStore, batch: DataFrame, family: int | None = None) -> DataFrame:
     """(accepted_id, repeat_id) of each row of ``batch`` that repeats an item; the others are added to the store.
 
-    ``batch`` has the columns of ``ITEMS``; its rows are taken in order of ``item_id``.
-    Parts of the store before ``since`` are known to hold nothing that they repeat.
+    ``batch`` has the columns of ``FEATURES``; its rows are taken in order of
+    ``item_id``.  The store is not committed.
     """
-    family = family or FAMILY
-    rows = materialize(batch.dropDuplicates(["item_id"]), "batch")
-    texts = rows.where("words IS NOT NULL")
-    classes = materialize(texts.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n_words", *SKETCH, "words")]), "batch-classes")
-    items = store.items(since)
-
-    # classes of the batch against stored classes
-    asked = materialize(store.asked(classes), "asked")
-    stored = store.prints(since).select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
-    hits = broadcast_if_small(materialize(store.screened(asked, since), "screened"))
-    outer = stored.join(hits, "fp").where(_near(F.col("n_words"), F.col("m"))).where("cls <> other").select("cls", "other").distinct()
-    to_store = materialize(_verified(outer, classes, items.where("words IS NOT NULL")), "links")
-
-    # what the store decides: the earliest accepted item by hash, by text, or by key
-    by_hash = rows.join(_earliest(items, rows, "hash"), "hash").select("item_id", "accepted")
-    links = to_store.unionByName(classes.select("cls", F.col("cls").alias("other")))
-    first = _earliest(items, links.select(F.col("other").alias("cls")), "cls").withColumnRenamed("cls", "other")
-    by_text = links.join(first, "other").groupBy("cls").agg(F.min("accepted").alias("accepted"))
-    by_text = texts.select("item_id", "cls").join(by_text, "cls").select("item_id", "accepted")
-    mute = materialize(rows.where("words IS NULL AND seen_key IS NOT NULL").select("item_id", "seen_key"), "mute")
-    by_key = mute.join(_earliest(items, mute, "seen_key"), "seen_key").select("item_id", "accepted")
-    known = by_hash.unionByName(by_text).unionByName(by_key).groupBy("item_id").agg(F.min("accepted").alias("accepted"))
-    known = materialize(known, "known")
-    found = known.select(F.col("accepted").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
-    fresh = materialize(rows.select("item_id", "seen_key", "hash", "cls").join(known, "item_id", "left_anti"), "fresh")
-
-    # the classes of the other rows against each other, up to where one fingerprint has too many of them
-    firsts = fresh.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("first"))
-    own = materialize(store.kept(classes.join(firsts, "cls", "left_semi")), "own")
+    found = []
+    with scratch(store.spark):
+        family, since = family or FAMILY, 0
+        rows = materialize(batch.select(*NARROW).dropDuplicates(["item_id"]), "rows")
+        classes = batch.where("cls IS NOT NULL").dropDuplicates(["cls"]).select("item_id", "cls", "n_words", *SKETCH, "words")
+        while True:
+            classes = materialize(classes, "classes")
+            texts, words = classes.agg(F.count(F.lit(1)), F.sum("n_words")).first()
+            by_text = rows.select("item_id", "cls").join(store.matches(classes, texts, words or 0, since), "cls").select("item_id", "accepted")
+            known = by_text.unionByName(store.known_signs(rows, since)).groupBy("item_id").agg(F.min("accepted").alias("accepted"))
+            known = materialize(known, "known")
+            found.append(known.select(F.col("accepted").alias("accepted_id"), F.col("item_id").alias("repeat_id")))
+            fresh = materialize(rows.join(broadcast_if_small(known), "item_id", "left_anti"), "fresh")
+            firsts = materialize(fresh.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("first")), "firsts")
+            part = store.meta["next"]
+            inner = materialize(classes.join(broadcast_if_small(firsts), "cls"), "fresh-classes")
+            own = materialize(store.kept(inner), "own")
+            cut = _cut(own, firsts, family)
+            if cut is None:
+                found.append(_admit_fresh(store, fresh, inner, own))
+                break
+            # what stands before the cut is admitted first; the rest is held against what that added
+            some = materialize(inner.where(F.col("first") < cut), "ahead")
+            found.append(_admit_fresh(store, fresh.where(F.col("item_id") < cut), some, own.join(some.select("cls"), "cls", "left_semi")))
+            rows = materialize(fresh.where(F.col("item_id") >= cut), "behind")
+            classes = classes.join(rows.select("cls").distinct(), "cls", "left_semi")
+            since, family = part, 2 * family
+        everything = found[0]
+        for more in found[1:]:
+            everything = everything.unionByName(more)
+        return keep(materialize(everything, "repeats"))
+
+
+def _cut(own: DataFrame, firsts: DataFrame, family: int) -> int | None:
+    """The smallest row from which on more than ``family`` classes share a fingerprint."""
     shared = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > family).select("fp")
-    shared = broadcast_if_small(materialize(shared, "shared"))
-    held = own.select("fp", "cls").join(shared, "fp", "left_semi").join(firsts, "cls")
-    ranked = held.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy("first"))).where(F.col("nth") <= family + 1)
-    cut = ranked.where(F.col("nth") == family + 1).agg(F.min("first")).first()[0]
-    if cut is not None:
-        part, path = store.parts, store.path
-        ahead = rows.join(fresh.where(F.col("item_id") < cut), "item_id", "left_semi")
-        behind = materialize(rows.join(fresh.where(F.col("item_id") >= cut), "item_id", "left_semi"), "behind")
-        found = materialize(found, "found").unionByName(materialize(admit_fresh(store, ahead, fresh.where(F.col("item_id") < cut), classes, asked, own), "ahead"))
-        return found.unionByName(admit(store, behind, part if store.path == path else 0, 2 * family))
-    return found.unionByName(admit_fresh(store, rows.join(fresh, "item_id", "left_semi"), fresh, classes, asked, own))
-
-
-def admit_fresh(store: FingerprintStore, rows: DataFrame, fresh: DataFrame, classes: DataFrame, asked: DataFrame, own: DataFrame) -> DataFrame:
+    shared = materialize(shared, "shared")
+    if shared.isEmpty():
+        return None
+    held = own.select("fp", "cls").join(broadcast_if_small(shared), "fp", "left_semi").distinct().join(firsts, "cls")
+    nth = F.row_number().over(Window.partitionBy("fp").orderBy("first"))
+    return held.withColumn("nth", nth).where(F.col("nth") <= family + 1).where(F.col("nth") == family + 1).agg(F.min("first")).first()[0]
+
+
+def _admit_fresh(store: FingerprintStore, rows: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
     """``admit`` for rows that repeat nothing in the store: they are held against each other only."""
-    some = broadcast_if_small(materialize(fresh.where("cls IS NOT NULL").select("cls").distinct(), "fresh-classes"))
-    classes, asked, own = (t.join(some, "cls", "left_semi") for t in (classes, asked, own))
-    one = asked.join(own.select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m")), "fp").where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
-    inner = one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct()
-    among = materialize(_verified(inner, classes, classes), "batch-links")
-    repeats, accepted = _settle(fresh, among)
-    store.add(rows.join(accepted, "item_id", "left_semi"), own)
+    held = own.select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
+    one = _asked(classes).join(held, "fp").where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
+    inner = materialize(one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct(), "inner")
+    among = materialize(_verified(inner, classes, classes).select("cls", "other").distinct(), "among")
+    repeats, accepted = _settle(rows, among)
+    taken = materialize(rows.join(accepted, "item_id", "left_semi"), "taken")
+    new = materialize(classes.drop("item_id").join(taken.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("item_id")), "cls"), "taken-classes")
+    store._add(taken, new, new.count(), own.join(new.select("cls"), "cls", "left_semi"))
     return repeats
 
 
@@ -475,53 +693,51 @@ def _settle(rows: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
     Every row sends out what it is (hash, class, key) and listens to what would
     make it a repeat.  A row that hears an accepted earlier one is a repeat; a
     row that hears no earlier one left undecided is accepted; the rest waits.
+    Links pass between classes, after their rows have been put together.
     """
-    def mark(kind: str, c: str) -> Column:
-        return F.concat(F.lit(kind), F.col(c).cast("string"))
-
-    sent = (
-        rows.where("hash IS NOT NULL").select("item_id", mark("h", "hash").alias("sign"))
-        .unionByName(rows.where("cls IS NOT NULL").select("item_id", mark("c", "cls").alias("sign")))
-        .unionByName(rows.where("seen_key IS NOT NULL").select("item_id", mark("k", "seen_key").alias("sign")))
-    )
+    text, own = F.struct(F.col("cls").alias("x1"), F.lit(1).cast("bigint").alias("x2")), F.struct(F.col("h1").alias("x1"), F.col("h2").alias("x2"))
+    key = F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2"))
+    sent = rows.select("item_id", F.inline(F.array(own, key, text))).where("x1 IS NOT NULL")
+    heard = rows.select("item_id", F.inline(F.array(own, F.when(F.col("mute"), key), text))).where("x1 IS NOT NULL")
     both = among.unionByName(among.select(F.col("other").alias("cls"), F.col("cls").alias("other")))
-    heard = (
-        rows.where("hash IS NOT NULL").select("item_id", mark("h", "hash").alias("sign"))
-        .unionByName(rows.where("cls IS NOT NULL").select("item_id", mark("c", "cls").alias("sign")))
-        .unionByName(rows.where("cls IS NULL AND seen_key IS NOT NULL").select("item_id", mark("k", "seen_key").alias("sign")))
-        .unionByName(rows.join(both, "cls").select("item_id", mark("c", "other").alias("sign")))
-    )
-    first = sent.groupBy("sign").agg(F.min("item_id").alias("first"))
-    disputed = materialize(heard.join(first, "sign").where("first < item_id").select("item_id").distinct(), "disputed")
+    passing = both.select(F.col("other").alias("x1"), F.lit(1).cast("bigint").alias("x2"), F.col("cls").alias("to"))
+
+    def lowest(said: DataFrame) -> DataFrame:
+        """(x1, x2, yes, open): the first accepted and the first undecided row that each sign is heard from."""
+        parts = said.groupBy("x1", "x2").agg(F.min("yes").alias("yes"), F.min("open").alias("open"))
+        passed = parts.join(passing, ["x1", "x2"]).select(F.col("to").alias("x1"), "x2", "yes", "open")
+        return parts.unionByName(passed).groupBy("x1", "x2").agg(F.min("yes").alias("yes"), F.min("open").alias("open"))
+
+    nobody = F.lit(None).cast("bigint")
+    first = lowest(sent.select("x1", "x2", nobody.alias("yes"), F.col("item_id").alias("open")))
+    disputed = materialize(heard.join(first, ["x1", "x2"]).where("open < item_id").select("item_id").distinct(), "disputed")
     undisputed = rows.select("item_id").join(disputed, "item_id", "left_anti")
     if disputed.isEmpty():
         none = undisputed.where("false").select(F.col("item_id").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
         return none, undisputed
     listening = materialize(heard.join(disputed, "item_id", "left_semi"), "listening")
-    signs = listening.select("sign").distinct()
-    senders = materialize(sent.join(signs, "sign", "left_semi"), "senders")
+    signs = listening.select("x1", "x2").distinct()
+    signs = signs.unionByName(signs.join(passing.select(F.col("to").alias("x1"), "x2", F.col("x1").alias("from")), ["x1", "x2"]).select(F.col("from").alias("x1"), "x2")).distinct()
+    senders = materialize(sent.join(signs, ["x1", "x2"], "left_semi"), "senders")
     state = disputed.select("item_id", F.lit(0).alias("state"))  # 0 undecided, 1 accepted, 2 repeat; all others are accepted
+
+    def said() -> DataFrame:
+        status = senders.join(state, "item_id", "left").select("x1", "x2", "item_id", F.coalesce("state", F.lit(1)).alias("state"))
+        return status.select("x1", "x2", F.when(F.col("state") == 1, F.col("item_id")).alias("yes"), F.when(F.col("state") == 0, F.col("item_id")).alias("open"))
+
     while True:
-        status = senders.join(state, "item_id", "left").select("sign", "item_id", F.coalesce("state", F.lit(1)).alias("state"))
-        lowest = status.groupBy("sign").agg(
-            F.min(F.when(F.col("state") == 1, F.col("item_id"))).alias("yes"), F.min(F.when(F.col("state") == 0, F.col("item_id"))).alias("open")
-        )
-        seen = listening.join(lowest, "sign").groupBy("item_id").agg(
+        seen = listening.join(lowest(said()), ["x1", "x2"]).groupBy("item_id").agg(
             F.min(F.when(F.col("yes") < F.col("item_id"), F.col("yes"))).alias("yes"), F.max(F.col("open") < F.col("item_id")).alias("open")
         )
         after = state.join(seen, "item_id", "left").select(
-            "item_id", "yes",
+            "item_id",
             F.when(F.col("state") != 0, F.col("state")).when(F.col("yes").isNotNull(), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("state"),
-        )
-        after = materialize(after, "settled")
-        if after.where("state = 0").isEmpty():
+        )
+        state = materialize(after, "settled")
+        if state.where("state = 0").isEmpty():
             break
-        state = after.select("item_id", "state")
     # the earliest accepted one is known only now that all are decided
-    state = after.select("item_id", "state")
-    status = senders.join(state, "item_id", "left").where("coalesce(state, 1) = 1")
-    lowest = status.groupBy("sign").agg(F.min("item_id").alias("yes"))
-    target = listening.join(lowest, "sign").where("yes < item_id").groupBy("item_id").agg(F.min("yes").alias("yes"))
+    target = listening.join(lowest(said()), ["x1", "x2"]).where("yes < item_id").groupBy("item_id").agg(F.min("yes").alias("yes"))
     repeats = state.where("state = 2").join(target, "item_id").select(F.col("yes").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
     return repeats, undisputed.unionByName(state.where("state = 1").select("item_id"))
 
@@ -534,24 +750,30 @@ def deduplicate(
     seen_key: str = "seen_item_key",
     content_hash: str = "content_hash",
     text: str = "extracted_text",
+    store_path: str | None = None,
 ) -> DataFrame:
-    """(accepted_id, repeat_id) of all repeats in ``arrivals``, batch after batch, against ``history`` and each other."""
-    store = FingerprintStore.create(featured(history, key, seen_key, content_hash, text))
-    per_batch = arrivals.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.count(F.lit(1)), F.min(key), F.max(key))
-    goes: list[list] = []
-    for number, n, low, high in sorted(per_batch.collect(), key=lambda r: r[0]):  # one row per batch
-        last = goes[-1] if goes else None
-        # together only if their ids are in order of the batches as well
-        if last and sum(m for _, m, _ in last) + n <= ROWS_AT_ONCE and None not in (last[-1][2], low) and last[-1][2] < low:
-            last.append((number, n, high))
-        else:
-            goes.append([(number, n, high)])
-    features = featured(arrivals, key, seen_key, content_hash, text)
-    kept = materialize(features.join(arrivals.select(F.col(key).alias("item_id"), F.col(batch).alias("batch")).dropDuplicates(["item_id"]), "item_id"), "arrivals")
-    found = None
-    for go in goes:
-        pairs = materialize(admit(store, kept.where(F.col("batch").isin([number for number, _, _ in go]))), "repeats")
-        found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
-        return kept.where("false").select(F.col("item_id").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
+    """(accepted_id, repeat_id) of all repeats in ``arrivals``, batch after batch, against ``history`` and each other.
+
+    With ``store_path`` the store is kept there.  If one stands there already,
+    ``history`` is not read again, and batches that it has admitted are left out.
+    Without, the store is made of ``history`` and deleted at the end.
+    """
+    spark = arrivals.sparkSession
+    with scratch(spark):
+        store = FingerprintStore.open(spark, store_path) if store_path else None
+        if store is None:
+            store = FingerprintStore.create(featured(history, key, seen_key, content_hash, text), store_path)
+        features = materialize(featured(arrivals, key, seen_key, content_hash, text, batch), "arrivals", f"tw_{batch}")
+        numbers = [r[0] for r in features.select(f"tw_{batch}").distinct().collect()]  # one row per batch
+        found = spark.createDataFrame([], "accepted_id bigint, repeat_id bigint")
+        for number in sorted(numbers, key=lambda n: (n is None, n)):
+            if str(number) in store.meta["done"]:
+                continue
+            found = found.unionByName(admit(store, features.where(F.col(f"tw_{batch}").eqNullSafe(F.lit(number)))))
+            store.meta["done"].append(str(number))
+            store.commit()
+            store.compact()
+        found = keep(materialize(found, "repeats"))
+        if not store_path:
+            store.drop()
     return found

@@ -39,7 +39,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import BROADCAST_ROWS, broadcast_if_small, materialize
+from tidewatch.session import broadcast_if_small, materialize
+
+#: Boilerplate phrases up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 
 SHARD_PAGES = 1000
 HOST_SHARE = 0.012

@@ -9,7 +9,7 @@ side, so a source or a line that holds a third of all rows arrives as one row
 per map task.  The frequent lines are few by construction: with a share ``s``
 and ``m`` lines per document on average, a source has at most ``m / s`` of
 them.  They are written out, counted and broadcast only below
-``BROADCAST_ROWS``; beyond it the join shuffles and adaptive execution splits
+``BROADCAST_BYTES``; beyond it the join shuffles and adaptive execution splits
 hot keys.  Texts are never shuffled.
 
 Defined cases.  A null text has no lines and stays null; an empty text is one
@@ -107,7 +107,7 @@ def clean(
     # the document's own columns stand apart, whatever they are called
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("tw_doc"))
     own, body = F.col("tw_doc").getField(source), F.col("tw_doc").getField(text)
-    joined = whole.join(broadcast_if_small(per_source, 10_000), own.eqNullSafe(F.col("tw_source")), "left")
+    joined = whole.join(broadcast_if_small(per_source), own.eqNullSafe(F.col("tw_source")), "left")
     lines = F.split(body, "\n", -1)
 
     def kept(pair: Column) -> Column:
