@@ -65,6 +65,7 @@ def edit(rnd, words, share):
 def test_batches_against_brute_force(spark, rows, monkeypatch, parts):
     rnd = random.Random(7)
     monkeypatch.setattr(inc, "MAX_PARTS", parts)
+    monkeypatch.setattr(inc, "SETTLED_AT_ONCE", 0 if parts == 2 else 4 << 20)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = [[rnd.choice(vocabulary) for _ in range(rnd.choice([3, 9, 30, 80]))] for _ in range(40)]
     history = [(i, f"k{i}", rnd.choice([None, "", digest(" ".join(t))]), " ".join(t) if i % 9 else None, 0, "") for i, t in enumerate(texts)]

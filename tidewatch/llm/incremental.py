@@ -26,9 +26,10 @@ three.  A pair of alike texts of which no stored shingle is in both is missed;
 the README has the measured recall.
 
 The store.  A folder with the tables ``signs`` (hashes and keys), ``classes``
-(one row for all items of one text), ``prints``, ``filters`` and ``hot``, each
-in parts (one for each addition) and in buckets by hash, so that a lookup reads
-the buckets that it asks only.  ``meta-N.json`` names the parts that count; it
+(one row for all items of one text), ``prints`` and ``hot``, each in parts (one
+for each addition) and in buckets by hash, so that a lookup reads the buckets
+that it asks only.  A bucket's fingerprints are one row with their filter; the
+filter is a column of its own and is read alone.  ``meta-N.json`` names the parts that count; it
 is written last, so a run that dies leaves the store as it was, and the next
 run does the batch again.  Parts are merged when there are more than
 ``MAX_PARTS``; the many small ones first, all if they have outgrown the first.
@@ -67,7 +68,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import content_digest, digest128, is_blank
-from tidewatch.session import broadcast_if_small, keep, materialize, release, remove, scratch, shared_dir
+from tidewatch.session import broadcast_if_small, keep, materialize, remove, scratch, shared_dir, written_bytes
 
 SHINGLE = 5
 WINDOW = 3
@@ -86,6 +87,7 @@ MAX_PARTS = 16
 BITS_PER_PRINT = 12
 HASHES = 4
 COUNTED_TOGETHER = 50_000
+SETTLED_AT_ONCE = 4 << 20
 
 WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 #: ``s0`` to ``s3`` are a sketch of 256 bits: one is set for each distinct word.
@@ -96,10 +98,12 @@ NARROW = ["item_id", "h1", "h2", "k1", "k2", "mute", "cls"]
 TABLES = {
     "signs": "x1 bigint, x2 bigint, item_id bigint",
     "classes": f"cls bigint, item_id bigint, n_words int, {_SKETCHED}, words binary",
-    "prints": "fp bigint, cls bigint, n_words int",
-    "filters": "field binary",
+    "prints": "n bigint, field binary, fp binary, cls binary, n_words binary",
     "hot": "fp bigint, n bigint",
 }
+PRINTS = "fp bigint, cls bigint, n_words int"
+ROLLED = "bucket int, fp binary, cls binary, n_words binary"
+PAIRS_AT_ONCE = 1_000_000
 
 
 # -- words and shingles of many texts at once --------------------------------------
@@ -321,7 +325,19 @@ def _exploded(batches: Iterator[pd.DataFrame], prints) -> Iterator[pd.DataFrame]
 
 def _asked(classes: DataFrame) -> DataFrame:
     """(fp, cls, n_words): what the texts of ``classes`` are looked up by."""
-    return classes.select("cls", "n_words", "words").mapInPandas(lambda batches: _exploded(batches, prints_asked), TABLES["prints"])
+    return classes.select("cls", "n_words", "words").mapInPandas(lambda batches: _exploded(batches, prints_asked), PRINTS)
+
+
+def _once(fp: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The fingerprints, once for each of their owners."""
+    both = fp ^ _mix(owner.astype(np.int64))
+    ordered = np.sort(both)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(again):
+        return fp
+    twice = again[np.minimum(np.searchsorted(again, both), len(again) - 1)] == both
+    _, first = np.unique(both[twice], return_index=True)
+    return np.concatenate([fp[~twice], fp[twice][first]])
 
 
 def hot_counts(classes: DataFrame, least: float) -> DataFrame:
@@ -338,12 +354,7 @@ def hot_counts(classes: DataFrame, least: float) -> DataFrame:
         for batch in itertools.chain(batches, [None]):
             if batch is not None and len(batch):
                 words, sizes = _unpacked(batch["words"])
-                for fp, owner in _parts(words, sizes, SHORT * 4 // 3, MIDDLING * 4 // 3, True):
-                    order = np.lexsort((owner, fp))
-                    fp, owner = fp[order], owner[order]
-                    once = np.ones(len(fp), bool)  # a text counts once
-                    once[1:] = (fp[1:] != fp[:-1]) | (owner[1:] != owner[:-1])
-                    held.append(fp[once])
+                held += [_once(fp, owner) for fp, owner in _parts(words, sizes, SHORT * 4 // 3, MIDDLING * 4 // 3, True)]
                 texts += len(batch)
             if held and (batch is None or texts >= COUNTED_TOGETHER):
                 fp, n = np.unique(np.concatenate(held), return_counts=True)
@@ -367,7 +378,7 @@ class FingerprintStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.version = 0
-        #: parts that count: name -> {"prints": n, "classes": n}; buckets of prints and filters, of classes and signs; batches admitted
+        #: parts that count: name -> {"bytes": of its prints, "classes": n}; buckets of prints and filters, of classes and signs; batches admitted
         self.meta: dict = {"parts": {}, "buckets": 4, "class_buckets": 1, "next": 0, "done": []}
         self._hot: Hot | None = None
 
@@ -457,31 +468,31 @@ class FingerprintStore:
 
     # -- adding ----------------------------------------------------------------
 
-    def _write(self, df: DataFrame, name: str, part: int, order: str | None = None) -> None:
-        df = df.repartition("bucket")
-        df = df.sortWithinPartitions("bucket", order) if order else df
-        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/part={part}")
+    def _write(self, df: DataFrame, name: str, part: int) -> None:
+        (df.repartition("bucket") if self.meta["class_buckets"] > 1 else df).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/part={part}")
 
     def kept(self, classes: DataFrame) -> DataFrame:
         """(fp, cls, n_words): what is stored of the texts of ``classes``."""
         hot = self.spark.sparkContext.broadcast(self.hot())  # at most HOT_MOST entries
-        return classes.select("cls", "n_words", "words").mapInPandas(lambda batches: _exploded(batches, lambda w, s: prints_stored(w, s, hot.value)), TABLES["prints"])
+        return classes.select("cls", "n_words", "words").mapInPandas(lambda batches: _exploded(batches, lambda w, s: prints_stored(w, s, hot.value)), PRINTS)
 
     def learn_hot(self, classes: DataFrame, held: int, part: int) -> None:
         """Count the shingles of new texts and keep what is hot with the part."""
         least = max(5.0, HOT_SHARE * (self.classes_held + held))
-        counts = materialize(hot_counts(classes, least), "hot")
-        # average shingles / HOT_SHARE at most; HOT_MOST whatever the texts are like
-        counts = counts.orderBy(F.desc("n"), "fp").limit(HOT_MOST)
-        counts.write.mode("overwrite").parquet(f"{self.path}/hot/part={part}")
         self.hot()
+        path = f"{self.path}/hot/part={part}"
+        hot_counts(classes, least).write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(TABLES["hot"]).parquet(path)
+        if written_bytes(self.spark, path) > 8 * HOT_MOST:  # average shingles / HOT_SHARE at most; HOT_MOST whatever the texts are like
+            most = materialize(written.orderBy(F.desc("n"), "fp").limit(HOT_MOST), "hot")
+            most.write.mode("overwrite").parquet(path)
         self._grow_hot(str(part))
 
     def _add(self, rows: DataFrame, classes: DataFrame, held: int, prints: DataFrame | None = None) -> int:
-        """Write a further part: ``rows`` with ``NARROW``'s columns, one of each class with its words, and its prints."""
+        """Write a further part: ``rows`` with ``NARROW``'s columns, one of each of the ``held`` classes with its words, and its prints."""
         part = self.meta["next"]
         self.meta["next"] += 1
-        b, cb = self.meta["buckets"], self.meta["class_buckets"]
+        cb = self.meta["class_buckets"]
         signs = rows.select("item_id", F.inline(F.array(F.struct(F.col("h1").alias("x1"), F.col("h2").alias("x2")), F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2"))))).where("x1 IS NOT NULL")
         signs = signs.groupBy("x1", "x2").agg(F.min("item_id").alias("item_id"))
         self._write(signs.withColumn("bucket", _spread("x1", cb)), "signs", part)
@@ -489,28 +500,24 @@ class FingerprintStore:
         self._write(classes.select(*columns, _spread("cls", cb).alias("bucket")), "classes", part)
         written = self._read("classes", [str(part)])
         self.learn_hot(written, held, part)
-        if prints is None:
-            prints = self.kept(written)
-        self._write(prints.withColumn("bucket", _spread("fp", b)), "prints", part, "fp")
-        self._filter(part)
+        self._roll(self.kept(written) if prints is None else prints, part, held)
         return part
 
-    def _filter(self, part: int) -> None:
-        """Bloom filters of a part, one for each bucket, sized by what the part holds."""
-        written = self._read("prints", [str(part)])
-        n = written.count()
-        bits = 1 << max(10, (n * BITS_PER_PRINT // self.meta["buckets"]).bit_length())
+    def _roll(self, prints: DataFrame, part: int, held: int) -> None:
+        """Write a part's fingerprints, sorted, a row for each bucket with its Bloom filter."""
 
-        def fill(group: pd.DataFrame) -> pd.DataFrame:
-            field = np.zeros(bits // 8, np.uint8)
-            for at in _positions(group["fp"].to_numpy(np.int64), bits):
-                np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            return pd.DataFrame({"bucket": [group["bucket"].iloc[0]], "field": [field.tobytes()]})
+        def roll(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("fp")
+            fp = group["fp"].to_numpy(np.int64)
+            marks = np.zeros(1 << max(10, (len(fp) * BITS_PER_PRINT).bit_length()), bool)
+            for at in _positions(fp, len(marks)):
+                marks[at] = True
+            cells = fp.tobytes(), group["cls"].to_numpy(np.int64).tobytes(), group["n_words"].to_numpy(np.int32).tobytes()
+            return pd.DataFrame([(group["bucket"].iloc[0], len(fp), np.packbits(marks, bitorder="little").tobytes(), *cells)], columns=["bucket", "n", "field", "fp", "cls", "n_words"])
 
-        fields = written.select("bucket", "fp").groupBy("bucket").applyInPandas(fill, "bucket int, field binary")
-        fields.write.mode("overwrite").parquet(f"{self.path}/filters/part={part}")
-        classes = self._read("classes", [str(part)]).count()
-        self.meta["parts"][str(part)] = {"prints": n, "classes": classes}
+        rolled = prints.withColumn("bucket", _spread("fp", self.meta["buckets"])).groupBy("bucket").applyInPandas(roll, f"bucket int, {TABLES['prints']}")
+        rolled.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/prints/part={part}")
+        self.meta["parts"][str(part)] = {"bytes": written_bytes(self.spark, f"{self.path}/prints/part={part}"), "classes": held}
 
     def compact(self) -> None:
         """Merge parts if there are too many: all but the first, or all with more buckets if these have outgrown it."""
@@ -518,22 +525,21 @@ class FingerprintStore:
         if len(others) + 1 <= MAX_PARTS:
             return
         counts = self.meta["parts"]
-        if sum(counts[p]["prints"] for p in others) >= counts[first]["prints"]:
+        if sum(counts[p]["bytes"] for p in others) >= counts[first]["bytes"]:
             others = [first, *others]
-            self.meta["buckets"] = max(4, -(-2 * sum(p["prints"] for p in counts.values()) // BUCKET_PRINTS))
+            self.meta["buckets"] = max(4, -(-2 * sum(p["bytes"] for p in counts.values()) // (20 * BUCKET_PRINTS)))
             self.meta["class_buckets"] = max(1, self.meta["buckets"] // 8)
         part = self.meta["next"]
         self.meta["next"] += 1
-        b, cb = self.meta["buckets"], self.meta["class_buckets"]
+        cb = self.meta["class_buckets"]
         signs = self._read("signs", others).groupBy("x1", "x2").agg(F.min("item_id").alias("item_id"))
         self._write(signs.withColumn("bucket", _spread("x1", cb)), "signs", part)
         self._write(self._read("classes", others).drop("part").withColumn("bucket", _spread("cls", cb)), "classes", part)
-        self._write(self._read("prints", others).drop("part").withColumn("bucket", _spread("fp", b)), "prints", part, "fp")
         hot = self.spark.read.schema(TABLES["hot"]).parquet(*[f"{self.path}/hot/part={p}" for p in others])
         hot.groupBy("fp").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{self.path}/hot/part={part}")
+        self._roll(self._read("prints", others).select("fp", "cls", "n_words").mapInPandas(_unrolled, PRINTS), part, sum(counts[p]["classes"] for p in others))
         for p in others:
             del counts[p]
-        self._filter(part)
         self.commit()
         for name in TABLES:
             for p in others:
@@ -556,35 +562,37 @@ class FingerprintStore:
                 for at in _positions(fp, 8 * len(bits)):
                     maybe &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 hit |= maybe
-            return group.loc[hit, ["fp", "cls", "n_words"]]
+            cells = [group[c].to_numpy(t)[hit].tobytes() for c, t in (("fp", np.int64), ("cls", np.int64), ("n_words", np.int32))]
+            return pd.DataFrame([(key[0], *cells)] if hit.any() else [], columns=["bucket", "fp", "cls", "n_words"])
 
         keyed = asked.withColumn("bucket", _spread("fp", buckets)).withColumn("salt", F.pmod(F.col("cls"), F.lit(salts)).cast("int"))
-        filters = self.spark.read.schema("bucket int, field binary").parquet(*[f"{self.path}/filters/part={p}" for p in parts])
-        dealt = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return keyed.groupBy("bucket", "salt").cogroup(dealt.groupBy("bucket", "salt")).applyInPandas(screen, TABLES["prints"])
+        fields = self._read("prints", parts).select("bucket", "field", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        return keyed.groupBy("bucket", "salt").cogroup(fields.groupBy("bucket", "salt")).applyInPandas(screen, ROLLED)
 
     def matches(self, classes: DataFrame, texts: int, words: int, since: int) -> DataFrame:
         """(cls, accepted): the first item with a text like that of each of ``classes``, in the parts from ``since`` on."""
         parts = self.parts(since)
         hits = materialize(self.screened(_asked(classes), words, texts, parts), "hits")
-        asked = [r[0] for r in hits.select(_spread("fp", self.meta["buckets"]).alias("b")).distinct().collect()]  # at most all buckets
-        stored = self._read("prints", parts, asked).select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
-        pairs = stored.join(broadcast_if_small(hits), "fp").where(_near(F.col("n_words"), F.col("m"))).select("cls", "other").distinct()
-        pairs = materialize(pairs, "pairs")
-        asked = [r[0] for r in pairs.select(_spread("other", self.meta["class_buckets"]).alias("b")).distinct().collect()]
-        links = _verified(pairs, classes, self._read("classes", parts, asked))
+        # many fingerprints fall into all buckets; of few it is worth knowing which ones they ask
+        asked = [r[0] for r in hits.select("bucket").distinct().collect()] if words < 8 * self.meta["buckets"] else None
+        stored = self._read("prints", parts, asked).select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("fp", "cls", "n_words")])
+        both = stored.join(broadcast_if_small(hits), "bucket").select("fp", "cls", "n_words", "b_fp", "b_cls", "b_n_words")
+        pairs = materialize(both.mapInPandas(_looked_up, "cls bigint, other bigint"), "pairs")
+        links = _verified(pairs, classes, self._read("classes", parts, self._hit(pairs, "other", texts)))
         return materialize(links.groupBy("cls").agg(F.min("item_id").alias("accepted")), "links")
 
-    def known_signs(self, rows: DataFrame, since: int) -> DataFrame:
-        """(item_id, accepted): the first item with the content hash of a row, or with the key of one without text."""
+    def _hit(self, rows: DataFrame, c: str, expected: int) -> list[int] | None:
+        """The buckets of classes or signs that hold the values of a column; null for all if so many values are expected to need them."""
+        n = self.meta["class_buckets"]
+        return [r[0] for r in rows.select(_spread(c, n).alias("b")).distinct().collect()] if n > 1 and expected < 8 * n else None
+
+    def known_signs(self, rows: DataFrame, texts: int, since: int) -> DataFrame:
+        """(item_id, accepted): the first item of each part with the content hash of a row, or with the key of one without text."""
         own = F.struct(F.col("h1").alias("x1"), F.col("h2").alias("x2"))
         mute = F.when(F.col("mute"), F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2")))
-        asked = rows.select("item_id", F.inline(F.array(own, mute))).where("x1 IS NOT NULL")
-        values = materialize(asked.select("x1", "x2").distinct(), "signs")
-        hit = [r[0] for r in values.select(_spread("x1", self.meta["class_buckets"]).alias("b")).distinct().collect()]
-        stored = self._read("signs", self.parts(since), hit).join(broadcast_if_small(values), ["x1", "x2"], "left_semi")
-        first = stored.groupBy("x1", "x2").agg(F.min("item_id").alias("accepted"))
-        return asked.join(first, ["x1", "x2"]).select("item_id", "accepted")
+        asked = rows.select(F.col("item_id").alias("row"), F.inline(F.array(own, mute))).where("x1 IS NOT NULL")
+        stored = self._read("signs", self.parts(since), self._hit(asked, "x1", texts))  # a sign is there once in each part
+        return stored.join(broadcast_if_small(asked, of=rows), ["x1", "x2"]).select(F.col("row").alias("item_id"), F.col("item_id").alias("accepted"))
 
 
 def _positions(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -594,6 +602,37 @@ def _positions(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield ((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _numbers(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row[0], np.int64), np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int32)
+
+
+def _unrolled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            yield pd.DataFrame(dict(zip(("fp", "cls", "n_words"), _numbers(row))))
+
+
+def _looked_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(cls, other) that share a fingerprint and may be alike by their lengths, from asked and stored fingerprints of one bucket."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            (fp, cls, n), (held, other, m) = _numbers(row[:3]), _numbers(row[3:])
+            low = np.searchsorted(held, fp)
+            times = np.searchsorted(held, fp, "right") - low
+            fp, cls, n, low, times = (x[times > 0] for x in (fp, cls, n, low, times))
+            ends = np.cumsum(times)
+            begin = 0
+            while begin < len(times):  # one fingerprint that all texts have may make any number of pairs
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+                t = times[begin:end]
+                at = np.repeat(low[begin:end] - (ends[begin:end] - t - done), t) + np.arange(ends[end - 1] - done)
+                a, b = np.repeat(n[begin:end], t), m[at]
+                near = np.minimum(a, b) >= SHARE * np.maximum(a, b)
+                yield pd.DataFrame({"cls": np.repeat(cls[begin:end], t)[near], "other": other[at][near]}).drop_duplicates()
+                begin = end
+
+
 def _near(n: Column, m: Column) -> Column:
     return F.least(n, m) >= SHARE * F.greatest(n, m)
 
@@ -611,7 +650,7 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     need = SHARE * F.greatest("n", "m")
     a = broadcast_if_small(a, of=left)
     likely = b.join(broadcast_if_small(pairs), "other").join(a, "cls").where((F.col("n") - missing >= need) & (F.col("m") - extra >= need))
-    likely = broadcast_if_small(materialize(likely.select("cls", "other"), "likely"))
+    likely = broadcast_if_small(materialize(likely.select("cls", "other").distinct(), "likely"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -624,38 +663,45 @@ def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return both.mapInPandas(check, "cls bigint, other bigint, item_id bigint")
 
 
-def admit(store: FingerprintStore, batch: DataFrame, family: int | None = None) -> DataFrame:
-    """(accepted_id, repeat_id) of each row of ``batch`` that repeats an item; the others are added to the store.
+def _rows_of(features: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a batch without their words, and one of each class with them."""
+    rows = features.select(*by, *NARROW).dropDuplicates([*by, "item_id"])
+    return rows, features.where("cls IS NOT NULL").dropDuplicates([*by, "cls"]).select(*by, "item_id", "cls", "n_words", *SKETCH, "words")
+
+
+def admit(store: FingerprintStore, features: DataFrame, family: int = FAMILY) -> DataFrame:
+    """(accepted_id, repeat_id) of each row of a batch that repeats an item; the others are added to the store.
 
-    ``batch`` has the columns of ``FEATURES``; its rows are taken in order of
-    ``item_id``.  The store is not committed.
+    ``features`` has the columns of ``FEATURES``; its rows are taken in order
+    of ``item_id``.  The store is not committed.
     """
+    return _admit(store, *_rows_of(features), family)
+
+
+def _admit(store: FingerprintStore, rows: DataFrame, classes: DataFrame, family: int) -> DataFrame:
     found = []
     with scratch(store.spark):
-        family, since = family or FAMILY, 0
-        rows = materialize(batch.select(*NARROW).dropDuplicates(["item_id"]), "rows")
-        classes = batch.where("cls IS NOT NULL").dropDuplicates(["cls"]).select("item_id", "cls", "n_words", *SKETCH, "words")
+        since, rows = 0, materialize(rows, "rows")
         while True:
             classes = materialize(classes, "classes")
             texts, words = classes.agg(F.count(F.lit(1)), F.sum("n_words")).first()
-            by_text = rows.select("item_id", "cls").join(store.matches(classes, texts, words or 0, since), "cls").select("item_id", "accepted")
-            known = by_text.unionByName(store.known_signs(rows, since)).groupBy("item_id").agg(F.min("accepted").alias("accepted"))
+            by_text = store.matches(classes, texts, words or 0, since).join(rows.select("item_id", "cls"), "cls").select("item_id", "accepted")
+            known = by_text.unionByName(store.known_signs(rows, texts, since)).groupBy("item_id").agg(F.min("accepted").alias("accepted"))
             known = materialize(known, "known")
             found.append(known.select(F.col("accepted").alias("accepted_id"), F.col("item_id").alias("repeat_id")))
-            fresh = materialize(rows.join(broadcast_if_small(known), "item_id", "left_anti"), "fresh")
-            firsts = materialize(fresh.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("first")), "firsts")
-            part = store.meta["next"]
-            inner = materialize(classes.join(broadcast_if_small(firsts), "cls"), "fresh-classes")
+            fresh = materialize(rows.join(broadcast_if_small(known.select("item_id"), of=known), "item_id", "left_anti"), "fresh")
+            inner = materialize(classes.join(broadcast_if_small(fresh.select("cls"), of=fresh), "cls", "left_semi"), "fresh-classes")
             own = materialize(store.kept(inner), "own")
-            cut = _cut(own, firsts, family)
+            part, cut = store.meta["next"], _cut(own, inner, family)
             if cut is None:
                 found.append(_admit_fresh(store, fresh, inner, own))
                 break
             # what stands before the cut is admitted first; the rest is held against what that added
-            some = materialize(inner.where(F.col("first") < cut), "ahead")
-            found.append(_admit_fresh(store, fresh.where(F.col("item_id") < cut), some, own.join(some.select("cls"), "cls", "left_semi")))
+            ahead = materialize(fresh.where(F.col("item_id") < cut), "ahead")
+            some = materialize(inner.join(broadcast_if_small(ahead.select("cls"), of=ahead), "cls", "left_semi"), "ahead-classes")
+            found.append(_admit_fresh(store, ahead, some, own.join(broadcast_if_small(some.select("cls"), of=some), "cls", "left_semi")))
             rows = materialize(fresh.where(F.col("item_id") >= cut), "behind")
-            classes = classes.join(rows.select("cls").distinct(), "cls", "left_semi")
+            classes = inner.join(broadcast_if_small(rows.select("cls"), of=rows), "cls", "left_semi")
             since, family = part, 2 * family
         everything = found[0]
         for more in found[1:]:
@@ -663,13 +709,13 @@ def admit(store: FingerprintStore, batch: DataFrame, family: int | None = None)
         return keep(materialize(everything, "repeats"))
 
 
-def _cut(own: DataFrame, firsts: DataFrame, family: int) -> int | None:
+def _cut(own: DataFrame, classes: DataFrame, family: int) -> int | None:
     """The smallest row from which on more than ``family`` classes share a fingerprint."""
-    shared = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > family).select("fp")
-    shared = materialize(shared, "shared")
-    if shared.isEmpty():
+    counts = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) <= family:
         return None
-    held = own.select("fp", "cls").join(broadcast_if_small(shared), "fp", "left_semi").distinct().join(firsts, "cls")
+    shared = broadcast_if_small(materialize(counts.where(F.col("n") > family).select("fp"), "shared"))
+    held = own.select("fp", "cls").join(shared, "fp", "left_semi").distinct().join(classes.select("cls", F.col("item_id").alias("first")), "cls")
     nth = F.row_number().over(Window.partitionBy("fp").orderBy("first"))
     return held.withColumn("nth", nth).where(F.col("nth") <= family + 1).where(F.col("nth") == family + 1).agg(F.min("first")).first()[0]
 
@@ -678,22 +724,25 @@ def _admit_fresh(store: FingerprintStore, rows: DataFrame, classes: DataFrame, o
     """``admit`` for rows that repeat nothing in the store: they are held against each other only."""
     held = own.select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
     one = _asked(classes).join(held, "fp").where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
-    inner = materialize(one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct(), "inner")
-    among = materialize(_verified(inner, classes, classes).select("cls", "other").distinct(), "among")
-    repeats, accepted = _settle(rows, among)
-    taken = materialize(rows.join(accepted, "item_id", "left_semi"), "taken")
-    new = materialize(classes.drop("item_id").join(taken.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("item_id")), "cls"), "taken-classes")
-    store._add(taken, new, new.count(), own.join(new.select("cls"), "cls", "left_semi"))
+    pairs = materialize(one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct(), "inner")
+    among = materialize(_verified(pairs, classes, classes).select("cls", "other"), "among")
+    repeats = _settle(rows, among)
+    taken = materialize(rows.join(broadcast_if_small(repeats.select(F.col("repeat_id").alias("item_id")), of=repeats), "item_id", "left_anti"), "taken")
+    firsts = materialize(taken.where("cls IS NOT NULL").groupBy("cls").agg(F.min("item_id").alias("item_id")), "taken-classes")
+    new = classes.drop("item_id").join(broadcast_if_small(firsts), "cls")
+    store._add(taken, new, firsts.count(), own.join(broadcast_if_small(firsts.select("cls"), of=firsts), "cls", "left_semi"))
     return repeats
 
 
-def _settle(rows: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Repeats and accepted ids within one batch, rows taken in order of id.
+def _settle(rows: DataFrame, among: DataFrame) -> DataFrame:
+    """(accepted_id, repeat_id) within one batch, rows taken in order of id.
 
     Every row sends out what it is (hash, class, key) and listens to what would
     make it a repeat.  A row that hears an accepted earlier one is a repeat; a
     row that hears no earlier one left undecided is accepted; the rest waits.
-    Links pass between classes, after their rows have been put together.
+    Links pass between classes, after their rows have been put together.  Up to
+    ``SETTLED_AT_ONCE`` bytes of this are settled by the driver in one go,
+    more in rounds; the result is the same.
     """
     text, own = F.struct(F.col("cls").alias("x1"), F.lit(1).cast("bigint").alias("x2")), F.struct(F.col("h1").alias("x1"), F.col("h2").alias("x2"))
     key = F.struct(F.col("k1").alias("x1"), F.col("k2").alias("x2"))
@@ -701,6 +750,7 @@ def _settle(rows: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
     heard = rows.select("item_id", F.inline(F.array(own, F.when(F.col("mute"), key), text))).where("x1 IS NOT NULL")
     both = among.unionByName(among.select(F.col("other").alias("cls"), F.col("cls").alias("other")))
     passing = both.select(F.col("other").alias("x1"), F.lit(1).cast("bigint").alias("x2"), F.col("cls").alias("to"))
+    passing = broadcast_if_small(passing, of=among)
 
     def lowest(said: DataFrame) -> DataFrame:
         """(x1, x2, yes, open): the first accepted and the first undecided row that each sign is heard from."""
@@ -710,22 +760,22 @@ def _settle(rows: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     nobody = F.lit(None).cast("bigint")
     first = lowest(sent.select("x1", "x2", nobody.alias("yes"), F.col("item_id").alias("open")))
-    disputed = materialize(heard.join(first, ["x1", "x2"]).where("open < item_id").select("item_id").distinct(), "disputed")
-    undisputed = rows.select("item_id").join(disputed, "item_id", "left_anti")
-    if disputed.isEmpty():
-        none = undisputed.where("false").select(F.col("item_id").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
-        return none, undisputed
-    listening = materialize(heard.join(disputed, "item_id", "left_semi"), "listening")
-    signs = listening.select("x1", "x2").distinct()
-    signs = signs.unionByName(signs.join(passing.select(F.col("to").alias("x1"), "x2", F.col("x1").alias("from")), ["x1", "x2"]).select(F.col("from").alias("x1"), "x2")).distinct()
-    senders = materialize(sent.join(signs, ["x1", "x2"], "left_semi"), "senders")
-    state = disputed.select("item_id", F.lit(0).alias("state"))  # 0 undecided, 1 accepted, 2 repeat; all others are accepted
+    listening = heard.join(first, ["x1", "x2"]).groupBy("item_id").agg(F.collect_list(F.struct("x1", "x2")).alias("signs"), F.min("open").alias("open"))
+    listening = materialize(listening.where("open < item_id").select("item_id", F.inline("signs")), "listening")
+    asked = listening.select("x1", "x2")
+    asked = asked.unionByName(asked.join(passing.select(F.col("to").alias("x1"), "x2", F.col("x1").alias("from")), ["x1", "x2"]).select(F.col("from").alias("x1"), "x2"))
+    asked = materialize(asked.distinct(), "asked")
+    senders = materialize(sent.join(broadcast_if_small(asked), ["x1", "x2"], "left_semi"), "senders")
+    spark = rows.sparkSession
+    if sum(written_bytes(spark, t._tidewatch_path) for t in (listening, senders, among)) <= SETTLED_AT_ONCE:
+        return materialize(spark.createDataFrame(_settled(*[t.toArrow() for t in (listening, senders, among)]), "accepted_id bigint, repeat_id bigint"), "repeats")
+    state = listening.select("item_id", F.lit(0).alias("state")).distinct()  # 0 undecided, 1 accepted, 2 repeat; all others are accepted
 
     def said() -> DataFrame:
         status = senders.join(state, "item_id", "left").select("x1", "x2", "item_id", F.coalesce("state", F.lit(1)).alias("state"))
         return status.select("x1", "x2", F.when(F.col("state") == 1, F.col("item_id")).alias("yes"), F.when(F.col("state") == 0, F.col("item_id")).alias("open"))
 
-    while True:
+    while not state.where("state = 0").isEmpty():
         seen = listening.join(lowest(said()), ["x1", "x2"]).groupBy("item_id").agg(
             F.min(F.when(F.col("yes") < F.col("item_id"), F.col("yes"))).alias("yes"), F.max(F.col("open") < F.col("item_id")).alias("open")
         )
@@ -734,12 +784,33 @@ def _settle(rows: DataFrame, among: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(F.col("state") != 0, F.col("state")).when(F.col("yes").isNotNull(), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("state"),
         )
         state = materialize(after, "settled")
-        if state.where("state = 0").isEmpty():
-            break
     # the earliest accepted one is known only now that all are decided
     target = listening.join(lowest(said()), ["x1", "x2"]).where("yes < item_id").groupBy("item_id").agg(F.min("yes").alias("yes"))
-    repeats = state.where("state = 2").join(target, "item_id").select(F.col("yes").alias("accepted_id"), F.col("item_id").alias("repeat_id"))
-    return repeats, undisputed.unionByName(state.where("state = 1").select("item_id"))
+    return materialize(state.where("state = 2").join(target, "item_id").select(F.col("yes").alias("accepted_id"), F.col("item_id").alias("repeat_id")), "repeats")
+
+
+def _settled(listening: pa.Table, senders: pa.Table, among: pa.Table) -> list[tuple[int, int]]:
+    """The same for tables of bounded size, row after row."""
+    links: dict[int, list[int]] = {}
+    for a, b in zip(*(among[c].to_pylist() for c in ("cls", "other"))):
+        links.setdefault(a, []).append(b)
+        links.setdefault(b, []).append(a)
+    hears: dict[int, list[tuple[int, int]]] = {}
+    says: dict[int, list[tuple[int, int]]] = {}
+    for table, into in ((listening, hears), (senders, says)):
+        for i, *sign in zip(*(table[c].to_pylist() for c in ("item_id", "x1", "x2"))):
+            into.setdefault(i, []).append(tuple(sign))
+    first: dict[tuple[int, int], int] = {}  # the first accepted row that each sign is heard from
+    found = []
+    for i in sorted({*hears, *says}):
+        earlier = [first[s] for s in hears.get(i, ()) if s in first]
+        if earlier:
+            found.append((min(earlier), i))
+            continue
+        for s in says.get(i, ()):
+            for heard in [s, *[(c, 1) for c in links.get(s[0], ()) if s[1] == 1]]:
+                first.setdefault(heard, i)
+    return found
 
 
 def deduplicate(
@@ -763,13 +834,16 @@ def deduplicate(
         store = FingerprintStore.open(spark, store_path) if store_path else None
         if store is None:
             store = FingerprintStore.create(featured(history, key, seen_key, content_hash, text), store_path)
-        features = materialize(featured(arrivals, key, seen_key, content_hash, text, batch), "arrivals", f"tw_{batch}")
-        numbers = [r[0] for r in features.select(f"tw_{batch}").distinct().collect()]  # one row per batch
+        parted = f"tw_{batch}"
+        features = materialize(featured(arrivals, key, seen_key, content_hash, text, batch), "arrivals")
+        rows, classes = (materialize(t, "arrived", parted) for t in _rows_of(features, parted))
+        numbers = [r[0] for r in rows.select(parted).distinct().collect()]  # one row per batch
         found = spark.createDataFrame([], "accepted_id bigint, repeat_id bigint")
         for number in sorted(numbers, key=lambda n: (n is None, n)):
             if str(number) in store.meta["done"]:
                 continue
-            found = found.unionByName(admit(store, features.where(F.col(f"tw_{batch}").eqNullSafe(F.lit(number)))))
+            some = F.col(parted).eqNullSafe(F.lit(number))
+            found = found.unionByName(_admit(store, rows.where(some).drop(parted), classes.where(some).drop(parted), FAMILY))
             store.meta["done"].append(str(number))
             store.commit()
             store.compact()
