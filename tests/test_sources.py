@@ -30,6 +30,11 @@ def test_sitemaps_and_crawl(spark, rows):
     assert rows(feeds.crawl(start, snapshot)) == [("s", "https://e.org/a", "2026-01-01"), ("s", "https://e.org/b", None)]
 
 
+def test_robots_name_sitemaps(spark, rows):
+    df = spark.createDataFrame([(1, "User-agent: *\r\nSitemap: https://e.org/a.xml\nsitemap:https://e.org/b.xml \nSitemap: https://e.org/a.xml"), (2, None), (3, "")], "k int, t string")
+    assert rows(feeds.robots_sitemaps(df, "k", "t")) == [(1, "https://e.org/a.xml"), (1, "https://e.org/b.xml")]
+
+
 def test_index_pages():
     page = "<nav>" + "".join(f'<a href="/n{i}">Navigation {i}</a>' for i in range(100)) + '</nav><div><a href="/reports/x">A long enough title</a><span>3 May 2026</span></div>'
     assert html.links_of(page, "https://e.org/", 1) == [{"url": "https://e.org/reports/x", "title": "A long enough title", "near_date": "2026-05-03"}]
@@ -44,10 +49,12 @@ def test_pages():
     assert html.body_of(page).count("Critical mineral") == 10 and "Menu" not in html.body_of(page)
     assert html.canonical_of(page) == "https://e.org/a" and html.dates_of(page) == "2026-09-08"
     assert html.metas_of(page) == [{"name": "og:title", "content": "T"}]
-    ld = '<script type="application/ld+json">' + json.dumps({"@graph": [{"articleBody": "B" * 100, "url": "https://e.org/a"}]}) + "</script>"
-    assert html.body_of(ld, "https://e.org/a/") == "B" * 100
+    ld = '<script type="application/ld+json">' + json.dumps({"@graph": [{"articleBody": "B" * 400, "url": "https://e.org/a"}]}) + "</script>"
+    assert html.body_of(ld, "https://e.org/a/") == "B" * 400
     assert html.body_of(ld, "https://e.org/other") == ""
     assert html.body_of("<p>outer <p>" + "x" * 40 + "</p></p>") == "x" * 40
+    short = '<script type="application/ld+json">' + json.dumps({"articleBody": "B" * 100}) + "</script>"
+    assert html.body_of(short + f'<div class="x entry-content"><p>{body}</p></div>').count("Critical") == 10
     assert html.body_of(None) == "" and html.links_of("", "") == []
     assert html.dates_of("<time>1 May 2026</time><time>2 May 2026</time>") is None
 

@@ -34,3 +34,17 @@ def test_zone_of_an_unregistered_source_is_estimated(spark, rows):
     registry = [("A", "Asia/Tokyo", "YMD", ""), ("B", "Europe/Berlin", "DMY", ""), ("D", "Africa/Lagos", "DMY", "")]
     got = timestamps.normalise(spark.createDataFrame(data, SCHEMA), spark.createDataFrame(registry, REGISTRY))
     assert (9, "date", "2025-07-01T10:00:00Z") in rows(got)
+
+
+def test_zone_by_ingestion_alone_and_utc(spark):
+    import datetime as dt
+
+    data = []
+    for n in range(60):  # local times of New York, fetched minutes to hours later; and a source that states UTC only
+        utc = dt.datetime(2025, 1 + n % 12, 10, 6 + n % 12, 30)
+        hours = 4 if 3 < utc.month < 11 else 5
+        data.append((n, "N", (utc - dt.timedelta(hours=hours)).strftime("%Y-%m-%d %H:%M"), None, None, utc + dt.timedelta(minutes=10 + 200 * (n % 3)), None, None, None))
+        data.append((n, "U", utc.strftime("%Y-%m-%dT%H:%M:00Z"), None, None, utc, None, None, None))
+    zones = ["America/New_York", "America/Los_Angeles", "Asia/Singapore", "Europe/London", "UTC"]
+    got = timestamps.estimate_zones(spark.createDataFrame(data, SCHEMA), zones, "institution", timestamps.FIELDS, "fetched_at")
+    assert {r.institution: r.time_zone for r in got.collect()} == {"N": "America/New_York", "U": "UTC"}

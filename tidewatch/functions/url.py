@@ -1,86 +1,79 @@
-"""URL normalisation.
-
-``normalize_url`` is a Column expression.  URLs that are plain already (lower
-case, no port, query, fragment or escape) are handled in the JVM; only the
-others go through an Arrow-batched function, which sees nulls for the rest.
-"""
+"""URL normalisation, evaluated in the JVM."""
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-from urllib.parse import parse_qsl, urlencode, urlsplit
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.functions.text import strip_white
 
 # Query keys that only track the visitor.
 TRACKING_PREFIX = "utm_"
-TRACKING_KEYS = frozenset({"fbclid", "gclid", "mc_cid", "mc_eid"})
+TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid")
 # Default ports, and characters that never need an escape.
 DEFAULT_PORT = {"http": 80, "https": 443}
-UNRESERVED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+UNRESERVED = "A-Za-z0-9._~-"
 
 #: A URL for which normalising means no more than dropping trailing slashes.
 PLAIN = r"^https?://[a-z0-9-]+(\.[a-z0-9-]+)+(/[A-Za-z0-9._~-]+)*/*$"
+#: Scheme, authority, path and query.
+PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?.*$"
+GLUED = r"https?://"
+
+
+def _plain_escapes(path: Column) -> Column:
+    """Escapes of characters that need none are undone, the others written in upper case."""
+    pieces = F.split(path, "%", -1)
+
+    def piece(p: Column) -> Column:
+        code, rest = F.substring(p, 1, 2), F.substring(p, 3, 1 << 30)
+        sign = F.char(F.conv(code, 16, 10).cast("int"))
+        escape = F.when(sign.rlike(f"^[{UNRESERVED}]$"), sign).otherwise(F.concat(F.lit("%"), F.upper(code)))
+        return F.when(code.rlike("^[0-9A-Fa-f]{2}$"), F.concat(escape, rest)).otherwise(F.concat(F.lit("%"), p))
+
+    undone = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))
+    return F.when(path.contains("%"), undone).otherwise(path)
+
+
+def _decoded(c: Column) -> Column:
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
 
-_ESCAPE = re.compile("%([0-9A-Fa-f]{2})")
-
-
-def _escape(m: re.Match) -> str:
-    plain = chr(int(m[1], 16))
-    return plain if plain in UNRESERVED else f"%{m[1].upper()}"
-
-
-@lru_cache(maxsize=200_000)
-def normalize_url_text(url: str | None) -> str:
-    """The normal form of one URL, '' if it is not a usable http(s) URL."""
-    try:
-        parts = urlsplit((url or "").strip())
-        port = parts.port
-    except ValueError:
-        return ""
-    scheme, host = parts.scheme.lower(), parts.netloc.lower()
-    if scheme not in DEFAULT_PORT or not host:
-        return ""
-    if re.search(r"https?://", host + parts.path.lower()) or re.search(r"https?:$", host):
-        return ""  # a second URL glued to the first
-    if port == DEFAULT_PORT[scheme]:
-        host = host[: host.rindex(":")]
-    path, params = parts.path, ""
-    cut = path.find(";", path.rfind("/") + 1)  # parameters of the last segment stand outside the path
-    if cut >= 0:
-        path, params = path[:cut], path[cut:] if len(path) > cut + 1 else ""
-    path = _ESCAPE.sub(_escape, path.rstrip("/")) or "/"
-    query = [
-        (k, v)
-        for k, v in parse_qsl(parts.query, keep_blank_values=True)
-        if k.lower() not in TRACKING_KEYS and not k.lower().startswith(TRACKING_PREFIX)
-    ]
-    if len(dict(query)) == len(query):  # the order of repeated keys can carry meaning
-        query.sort()
-    tail = urlencode(query)
-    return f"{scheme}://{host}{path}{params}" + (f"?{tail}" if tail else "")
-
-
-@F.pandas_udf(T.StringType())
-def _normalize_rest(urls: pd.Series) -> pd.Series:
-    return urls.map(lambda u: None if u is None else normalize_url_text(u))
+
+def _encoded(c: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def _plain_query(query: Column) -> Column:
+    """Fields that track nobody, sorted unless a key is repeated: the order of repeated keys can carry meaning."""
+    fields = F.filter(F.split(query, "&", -1), lambda f: f != "")
+    pairs = F.transform(
+        fields, lambda f: F.struct(_decoded(F.regexp_extract(f, "(?s)^([^=]*)", 1)).alias("k"), _decoded(F.regexp_extract(f, "(?s)^[^=]*=(.*)$", 1)).alias("v"))
+    )
+    kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING_KEYS) & ~F.lower(p["k"]).startswith(TRACKING_PREFIX))
+    once = F.size(F.array_distinct(F.transform(kept, lambda p: p["k"]))) == F.size(kept)
+    ordered = F.when(once, F.array_sort(kept)).otherwise(kept)
+    return F.array_join(F.transform(ordered, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
 def normalize_url(c: Column) -> Column:
     """Normal form of a URL; '' for null and for what is not a usable http(s) URL."""
-    raw = strip_white(c)
-    plain = raw.rlike(PLAIN)
+    raw = F.translate(strip_white(c), "\t\r\n", "")
     slashless = F.regexp_replace(raw, "/+$", "")
-    fast = F.when(F.length(slashless) - F.length(F.replace(slashless, F.lit("/"))) == 2, F.concat(slashless, F.lit("/")))
-    return F.when(plain, F.coalesce(fast, slashless)).otherwise(
-        F.coalesce(_normalize_rest(F.when(~plain, raw)), F.lit(""))
-    )
+    plain = F.when(F.length(slashless) - F.length(F.replace(slashless, F.lit("/"))) == 2, F.concat(slashless, F.lit("/"))).otherwise(slashless)
+
+    scheme, authority = F.lower(F.regexp_extract(raw, PARTS, 1)), F.lower(F.regexp_extract(raw, PARTS, 2))
+    whole, query = F.regexp_extract(raw, PARTS, 3), F.regexp_extract(raw, PARTS, 4)
+    port = F.regexp_extract(authority, r":([^:@\]]*)$", 1)
+    usable = scheme.isin(*DEFAULT_PORT) & (authority != "") & (authority.contains("[") == authority.contains("]"))
+    usable &= (port == "") | port.rlike("^0*([0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$")
+    usable &= ~F.lower(F.concat(authority, whole)).rlike(GLUED) & ~authority.rlike("https?:$")  # a second URL glued to the first
+    host = F.when(scheme == "http", F.regexp_replace(authority, ":0*80$", "")).otherwise(F.regexp_replace(authority, ":0*443$", ""))
+    # parameters of the last segment stand outside the path
+    path = F.regexp_replace(F.regexp_extract(whole, "(?s)^((?:.*/)?[^/;]*)", 1), "/+$", "")
+    params = F.regexp_extract(whole, "(?s)^(?:.*/)?[^/;]*(;[^/]+)$", 1)
+    tail = F.when(query == "", F.lit("")).otherwise(_plain_query(query))
+    rest = F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(_plain_escapes(path)), params, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit("")))
+    return F.coalesce(F.when(raw.rlike(PLAIN), plain).when(usable, rest), F.lit(""))
 
 
 def host_of(c: Column) -> Column:
@@ -119,29 +112,43 @@ def domain_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def resolve_canonical_text(raw: str | None, fallback: str | None) -> str:
-    """A stated canonical URL made absolute, if it stays on the page's host and isn't the root of a deeper page."""
-    from urllib.parse import urljoin
-
-    page = (fallback or "").split("#")[0].strip()
-    stated = (raw or "").split("#")[0].strip()
-    if not (stated or page):
-        return ""
-    try:
-        found, own = urlsplit(urljoin(page, stated or page)), urlsplit(page)
-        host, own_host = found.hostname or "", own.hostname or ""
-    except ValueError:
-        return page
-    glued = re.search(r"https?://", (found.netloc + found.path).lower()) or found.netloc.lower().endswith(("http:", "https:"))
-    if found.scheme not in ("http", "https") or not found.netloc or glued:
-        return page
-    if host.removeprefix("www.") != own_host.removeprefix("www."):
-        return page
-    if found.path in ("", "/") and own.path not in ("", "/"):
-        return page
-    return f"{found.scheme}://{found.netloc.lower()}{found.path or '/'}" + (f"?{found.query}" if found.query else "")
-
-
-@F.pandas_udf(T.StringType())
-def resolve_canonical(raw: pd.Series, fallback: pd.Series) -> pd.Series:
-    return pd.Series([resolve_canonical_text(r, f) for r, f in zip(raw, fallback)])
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments."""
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.split(path, "/", -1), start,
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    ends = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.array_join(kept, "/"), ends)).otherwise(path)
+
+
+def resolve_canonical(raw: Column, fallback: Column) -> Column:
+    """A stated canonical URL made absolute, else the page's own.
+
+    The statement counts if it is an http(s) URL on the page's host, ``www.``
+    not counting, and isn't the root of a deeper page.
+    """
+    page, said = (strip_white(F.regexp_extract(F.coalesce(c, F.lit("")), "(?s)^([^#]*)", 1)) for c in (fallback, raw))
+    said = F.when(said == "", page).otherwise(said)
+
+    def part(url: Column, i: int) -> Column:
+        return F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?.+)?$", i)
+
+    origin, own_path = F.concat(part(page, 1), F.lit("://"), part(page, 2)), part(page, 3)
+    path, query = F.regexp_extract(said, "(?s)^([^?]*)", 1), F.regexp_extract(said, r"(?s)(\?.*)$", 1)
+    folder = F.concat(F.regexp_extract(own_path, "(?s)^(.*/)?", 0), F.when(own_path == "", F.lit("/")).otherwise(F.lit("")))
+    absolute = (
+        F.when(said.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), said)
+        .when(said.startswith("//"), F.concat(part(page, 1), F.lit(":"), said))
+        .when(said.startswith("/"), F.concat(origin, _without_dots(path), query))
+        .when(said.startswith("?"), F.concat(origin, own_path, said))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), query))
+    )
+    scheme, authority, found = F.lower(part(absolute, 1)), F.lower(part(absolute, 2)), part(absolute, 3)
+    host, own_host = (F.regexp_replace(host_of(u), r"^www\.", "") for u in (absolute, page))
+    counts = scheme.isin("http", "https") & (authority != "") & (host == own_host)
+    counts &= ~F.lower(F.concat(authority, found)).rlike(GLUED) & ~authority.rlike("https?:$")
+    counts &= ~(found.isin("", "/") & ~own_path.isin("", "/"))
+    stated = F.concat(scheme, F.lit("://"), authority, F.when(found == "", F.lit("/")).otherwise(found), part(absolute, 4))
+    return F.when(counts, stated).otherwise(page)

@@ -2,20 +2,24 @@
 
 Every text is read into wall-clock time and whatever zone it states.  What
 states none needs the zone of its source.  A registry names that zone; for
-sources it does not name, the zone is estimated: each candidate zone (a whole
-history of offsets) is scored by its violations, which are
-
-* offsets that the source itself states and that the zone did not have then, and
-* wall-clock times that would lie later than their ingestion,
-
-and the zone with the fewest is taken (of equals the one
-that also differs from the fewest statements of UTC, then the first by name).
+sources it does not name, the zone is estimated.  Each candidate zone (a whole
+history of offsets) is scored by its violations:
+
+* statements of an offset other than UTC's that the zone did not have on that
+  day, less those it had, and less half of the statements of UTC on days when the
+  zone had UTC: UTC is stated everywhere, so it can't count against a zone, but
+  where little else is stated it counts for itself.  The zone with the fewest is
+  taken, of equals
+* the one under which the fewest zoneless times lie later than their ingestion,
+  and of these the one that leaves the least time between both, since any zone
+  further east is never late either; last the first by name.
 
 Scale.  Reading is one pass without a shuffle; copies of a text meet a cache in
-the worker.  Estimation runs over the sources without a registered zone only;
-it sends one row per batch, source and candidate zone to the shuffle, so a hot
-source costs no more than any other.  The registry is counted before it is
-broadcast.
+the worker.  Estimation runs over the sources without a registered zone only.
+Readings are counted by source, day, statement and lead over ingestion in
+quarters of an hour, before and after the shuffle; zones are scored by these
+counts, so neither rows nor a hot source meet the candidate zones.  The
+registry's size is checked before it is broadcast.
 
 Defined cases.  Null, empty and blank texts, texts that name no day, and days
 that do not exist give no row.  A time of day that does not exist counts as
@@ -25,8 +29,10 @@ out; its zoned ones still come out.  Repeated rows come out repeatedly.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
-from datetime import timedelta
+from datetime import datetime, time, timedelta, timezone
 from functools import lru_cache
 
 import pandas as pd
@@ -42,17 +48,19 @@ FIELDS = ("date", "extracted_date", "event_start_at")
 AHEAD = timedelta(minutes=5)
 
 
+@lru_cache(maxsize=200_000)
+def _reading(text: str, order: str) -> dates.Reading | None:
+    return dates.read(text, order)
+
+
 @lru_cache(maxsize=200_000)
 def _instant(text: str | None, order: str, zone: str | None) -> str | None:
     at = dates.to_utc(dates.read(text, order), zone)
     return at.isoformat() + "Z" if at else None
 
 
-def estimate_zones(rows: DataFrame, candidates: Sequence[str], source: str, fields: Sequence[str], ingested: str | None) -> DataFrame:
-    """(source, time_zone, violations, readings) estimated for each source in ``rows``.
-
-    ``rows`` may hold a column ``tw_order``; without it day stands before month.
-    """
+def _readings(rows: DataFrame, source: str, fields: Sequence[str], ingested: str | None) -> DataFrame:
+    """(source, day, statement, lead, n): how often a day is named with a statement of zone, or how far ahead of its ingestion without."""
     order = F.col("tw_order") if "tw_order" in rows.columns else F.lit("DMY")
     at = F.col(ingested).cast("timestamp") if ingested else F.lit(None).cast("timestamp")
     narrow = rows.select(
@@ -62,33 +70,75 @@ def estimate_zones(rows: DataFrame, candidates: Sequence[str], source: str, fiel
         *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)],
     )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            names, orders, ats, *texts = (c.to_pylist() for c in batch.columns)
+            for i, column in enumerate(texts):
+                for name, order, at, text in zip(names, orders, ats, column):
+                    reading = _reading(text, order) if text else None
+                    if reading is None or reading.local is None:
+                        continue
+                    day = reading.local.toordinal()
+                    if reading.offset is not None or reading.abbreviation or reading.region:
+                        found[name, day, f"{'' if reading.offset is None else int(reading.offset)}|{reading.abbreviation or ''}|{reading.region or ''}", None] += 1
+                    elif i == 0 and at is not None and reading.local.time() != time(0):  # other fields name what is to come; days alone have no hour
+                        lead = ((reading.local - AHEAD).replace(tzinfo=timezone.utc).timestamp() - at) / 900
+                        if abs(lead) <= 15 * 4:  # beyond, no offset decides
+                            found[name, day, "", math.ceil(lead)] += 1
+            keys = list(found)
+            columns = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["source", "day", "statement", "lead", "n"])
+
+    counted = narrow.mapInArrow(count, "source string, day int, statement string, lead int, n bigint")
+    return counted.groupBy("source", "day", "statement", "lead").agg(F.sum("n").alias("n"))
+
+
+@lru_cache(maxsize=500_000)
+def _offset(zone: str, day: int) -> int:
+    """Minutes east of UTC at noon of a day."""
+    return int(datetime.fromordinal(day).replace(hour=12, tzinfo=dates.zone_info(zone)).utcoffset().total_seconds()) // 60
+
+
+def offsets_of(zone: str, year: int, years: int = 1) -> list[int]:
+    """Minutes east of UTC at noon of each day of some years."""
+    first = datetime(year, 1, 1).toordinal()
+    return [_offset(zone, day) for day in range(first, datetime(year + years, 1, 1).toordinal())]
+
+
+def estimate_zones(rows: DataFrame, candidates: Sequence[str], source: str, fields: Sequence[str], ingested: str | None) -> DataFrame:
+    """(source, time_zone, violations, readings) estimated for each source in ``rows``.
+
+    ``rows`` may hold a column ``tw_order``; without it day stands before month.
+    """
+    zones = list(candidates)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: dict[tuple[str, str], list[int]] = {}
             for row in batch.itertuples(index=False):
-                for i in range(len(fields)):
-                    reading = dates.read(getattr(row, f"f{i}"), row.zone_order)
-                    if reading is None:
-                        continue
-                    for zone in candidates:
-                        tally = found.setdefault((row.source, zone), [0, 0, 0])
-                        local = dates.to_utc(dates.Reading(reading.local), zone)
-                        if local is None:
-                            continue
+                offset, abbreviation, region = row.statement.split("|") if row.statement else ("", "", "")
+                for zone in zones:
+                    tally = found.setdefault((row.source, zone), [0, 0, 0, 0, 0])
+                    own = _offset(zone, row.day)
+                    tally[4] += row.n
+                    if row.statement:
+                        reading = dates.Reading(datetime.fromordinal(row.day).replace(hour=12), int(offset) if offset else None, abbreviation or None, region or None)
                         stated = dates.stated_offset(reading, zone)
-                        tally[1] += 1
-                        if stated is not None:
-                            differs = reading.local - local != stated
-                            tally[0] += differs and stated != timedelta(0)
-                            tally[2] += differs  # UTC is stated everywhere; it decides between equals only
-                        elif i == 0 and row.at == row.at and row.at is not None:
-                            ahead = (local - pd.Timestamp(row.at, unit="s").to_pydatetime()) > AHEAD
-                            tally[0] += bool(ahead)
-            yield pd.DataFrame([(s, z, *t) for (s, z), t in found.items()], columns=["source", "time_zone", "violations", "readings", "utc_differs"])
-
-    tallies = narrow.mapInPandas(score, "source string, time_zone string, violations bigint, readings bigint, utc_differs bigint")
-    totals = tallies.groupBy("source", "time_zone").agg(F.sum("violations").alias("violations"), F.sum("readings").alias("readings"), F.sum("utc_differs").alias("utc_differs"))
-    best = totals.groupBy("source").agg(F.min(F.struct("violations", "utc_differs", "time_zone", "readings")).alias("best"))
+                        minutes = None if stated is None else int(stated.total_seconds()) // 60
+                        tally[0] += row.n * (minutes not in (None, 0, own))
+                        tally[1] += row.n * (0 if minutes is None or minutes == 0 != own else -1 if minutes == own == 0 else -2 if minutes == own else 2)
+                    else:
+                        late = row.lead * 15 > own
+                        tally[2] += row.n * late
+                        tally[3] += 0 if late else row.n * (own - row.lead * 15)
+            yield pd.DataFrame([(s, z, *t) for (s, z), t in found.items()], columns=["source", "time_zone", "violations", "disagreement", "late", "slack", "readings"])
+
+    scored = "source string, time_zone string, violations bigint, disagreement bigint, late bigint, slack bigint, readings bigint"
+    tallies = _readings(rows, source, fields, ingested).mapInPandas(score, scored)
+    sums = [F.sum(c).alias(c) for c in ("violations", "disagreement", "late", "slack", "readings")]
+    totals = tallies.groupBy("source", "time_zone").agg(*sums)
+    best = totals.groupBy("source").agg(F.min(F.struct("disagreement", "violations", "late", "slack", "time_zone", "readings")).alias("best"))
     return best.select(F.col("source").alias(source), "best.time_zone", "best.violations", "best.readings")
 
 

@@ -155,7 +155,7 @@ def _hint_sql() -> str:
         flags = ", ".join(f"CASE WHEN regexp_matches(t, '(^|[^\\pL\\pN_]){w.replace(' ', chr(92) + 's+')}($|[^\\pL\\pN_])') THEN '{w}' END" for w in sorted(words))
         topics.append(f"SELECT item_id, '{topic}' AS topic, list_filter([{flags}], lambda x: x IS NOT NULL) AS m FROM low")
     return (
-        "WITH low AS (SELECT item_id, lower(extracted_text) AS t FROM enriched_items), hits AS (" + " UNION ALL ".join(topics) + ") "
+        "WITH low AS (SELECT item_id, lower(concat_ws(' ', title, extracted_text)) AS t FROM enriched_items), hits AS (" + " UNION ALL ".join(topics) + ") "
         "SELECT item_id, topic, array_to_string(m, ', ') AS matched_keywords, CAST(len(m) AS INTEGER) AS score FROM hits WHERE len(m) > 0"
     )
 
@@ -163,7 +163,7 @@ def _hint_sql() -> str:
 @Q("t17_topic_hints", _hint_sql())
 def t17_topic_hints(spark, d):
     rows = table(spark, d, "enriched_items")
-    found = rows.select("item_id", F.explode(hints.hints(F.lower("extracted_text"), LEXICON)).alias("h"))
+    found = rows.select("item_id", F.explode(hints.hints(F.lower(F.concat_ws(" ", "title", "extracted_text")), LEXICON)).alias("h"))
     return found.select("item_id", "h.topic", F.array_join("h.matched_keywords", ", ").alias("matched_keywords"), "h.score")
 
 
@@ -246,7 +246,7 @@ def j11_counts_by_source(spark, d):
 
 @Q(
     "j14_sitemap_urls",
-    "SELECT institution, regexp_replace(base_url, '/+$', '') || p AS url FROM sources, (SELECT unnest([" + ", ".join(f"'{p}'" for p in feeds.SITEMAP_PATHS) + "]) AS p)",
+    "SELECT institution, regexp_replace(base_url, '/+$', '') || p AS url FROM sources, (SELECT unnest([" + "'/sitemap.xml', '/sitemap_index.xml', '/sitemap-index.xml', '/sitemap-news.xml', '/news-sitemap.xml', '/post-sitemap.xml', '/page-sitemap.xml'" + "]) AS p)",
 )
 def j14_sitemap_urls(spark, d):
     return feeds.sitemap_candidates(table(spark, d, "sources"))
@@ -258,8 +258,9 @@ def j14_sitemap_urls(spark, d):
 )
 def j16_hosts_of_sources(spark, d):
     """A suffix match as an equality join: each host is exploded into the domains above it."""
-    hosts = table(spark, d, "candidates").select(F.explode(ur.domain_suffixes(ur.host_of(F.col("url")))).alias("domain"))
-    return hosts.join(table(spark, d, "sources").select("domain", "institution"), "domain").groupBy("institution").agg(F.count(F.lit(1)).alias("n"))
+    hosts = table(spark, d, "candidates").groupBy(ur.host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    below = hosts.select(F.explode(ur.domain_suffixes(F.col("host"))).alias("domain"), "n")
+    return below.join(table(spark, d, "sources").select("domain", "institution"), "domain").groupBy("institution").agg(F.sum("n").alias("n"))
 
 
 @Q("j17_components")
@@ -480,9 +481,9 @@ def x3_except(spark, d):
     return table(spark, d, "candidates").select("url").subtract(table(spark, d, "enriched_items").select("url"))
 
 
-@Q("x4_intersect", "SELECT url FROM candidates INTERSECT SELECT url FROM enriched_items")
+@Q("x4_intersect", "SELECT seen_item_key FROM new_items INTERSECT SELECT seen_item_key FROM ledger")
 def x4_intersect(spark, d):
-    return table(spark, d, "candidates").select("url").intersect(table(spark, d, "enriched_items").select("url"))
+    return table(spark, d, "new_items").select("seen_item_key").intersect(table(spark, d, "ledger").select("seen_item_key"))
 
 
 @Q("x5_complete", "SELECT count(*) AS rows, sum(CASE WHEN item_type IN ('report', 'event', 'podcast') THEN 1 ELSE 0 END) = count(*) AS complete FROM candidates")

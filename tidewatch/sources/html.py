@@ -17,15 +17,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates
-from tidewatch.functions.url import normalize_url_text
+from tidewatch.functions.url import normalize_url
 
-# Elements without content, without text, and around the content.
+# Elements without content, without text, around the content, and with text of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg".split())
+SILENT = frozenset("script style noscript svg form iframe".split())
 FRAME = frozenset("nav header footer aside form".split())
-BLOCKS = frozenset("h1 h2 h3 p li blockquote figcaption".split())
+BLOCKS = frozenset("h1 h2 h3 p li blockquote".split())
 # Parts of class, id, role or aria-label that mark page furniture.
-FURNITURE = ("nav", "menu", "breadcrumb", "cookie", "footer", "sidebar", "share", "social", "related", "newsletter", "subscribe", "promo", "banner")
+FURNITURE = (
+    "nav",
+    "menu",
+    "footer",
+    "header",
+    "subscribe",
+    "newsletter",
+    "cookie",
+    "share",
+    "social",
+    "advert",
+    "related",
+    "promo",
+    "breadcrumb",
+)
+# What marks the element that holds the body, (attribute, whole value or part of it).
+BODY_MARKS = (
+    ("itemprop", "articleBody", True),
+    ("class", "article-body", False),
+    ("class", "article__body", False),
+    ("class", "story-body", False),
+    ("class", "post-content", False),
+    ("class", "entry-content", False),
+    ("class", "field--name-body", False),
+    ("class", "content-body", False),
+    ("class", "rich-text", False),
+    ("data-testid", "article", False),
+)
+LEAST_BLOCK = 30
 
 
 class Node:
@@ -65,7 +93,9 @@ class Node:
     @property
     def furniture(self) -> bool:
         marks = " ".join(self.attrs.get(a, "") for a in ("class", "id", "role", "aria-label")).lower()
-        return self.tag in FRAME or self.tag not in ("html", "body", "main", "article") and any(f in marks for f in FURNITURE)
+        if self.tag in ("html", "body", "main", "article") or not any(f in marks for f in FURNITURE):
+            return False
+        return all(n.tag != "article" for n in self.walk())
 
 
 class _Builder(HTMLParser):
@@ -110,10 +140,12 @@ def links_of(html: str | None, base: str, limit: int | None = None) -> list[dict
             continue
         title = node.text() or node.attrs.get("title", "")
         try:
-            url = normalize_url_text(urljoin(base, node.attrs["href"]))
+            url = urljoin(base, node.attrs["href"].strip()).split("#")[0]
         except ValueError:
             continue
-        if len(title) >= 8 and url and url not in found:
+        if not url.lower().startswith(("http://", "https://")):
+            continue
+        if len(title) >= 8 and url not in found:
             found[url] = {"url": url, "title": title, "near_date": near_date(node)}
             if limit and len(found) >= limit:
                 break
@@ -179,40 +211,47 @@ def canonical_of(html: str | None) -> str:
     return next((m["content"] for m in metas_of(html) if m["name"] in ("og:url", "url")), "")
 
 
-def body_of(html: str | None, url: str = "", least: int = 300, limit: int = 60_000) -> str:
-    """Main text: a matching JSON-LD body, else the first root with ``least`` characters, else the longest."""
+def _address(url: object) -> str:
+    return str(url or "").split("#")[0].rstrip("/").lower()
+
+
+def stated_body(html: str | None, url: str = "") -> str:
+    """The longest body that the page's JSON-LD states for this address."""
+    best = ""
     for node in json_ld_of(html):
-        body = node.get("articleBody") or node.get("text")
         about = node.get("url") or node.get("@id") or node.get("mainEntityOfPage")
-        about = about.get("@id", "") if isinstance(about, dict) else about
-        if isinstance(body, str) and len(body) >= 80 and (not about or not url or normalize_url_text(str(about)) == normalize_url_text(url)):
-            return " ".join(body.split())[:limit]
-    root = parse(html)
-    roots = [n for tag in ("article", "main", "body") for n in root.walk() if n.tag == tag] or [root]
-    best = ""
-    for node in roots:
-        text = _blocks(node)
-        if len(text) >= least:
-            return text[:limit]
-        best = max(best, text, key=len)
-    return best[:limit]
+        about = about.get("@id") if isinstance(about, dict) else about
+        body = node.get("articleBody") or node.get("text")
+        if isinstance(body, str) and (not about or not url or _address(about) == _address(url)):
+            best = max(best, " ".join(body.split()), key=len)
+    return best
 
 
-def _blocks(root: Node) -> str:
-    found: list[str] = []
+def _body_roots(root: Node) -> list[Node]:
+    """Elements that may hold the body: articles first, then by the order of the marks; the whole page if there is none."""
+    nodes = list(root.walk())
+    marked = [n for a, mark, whole in BODY_MARKS for n in nodes if (n.attrs.get(a) == mark if whole else mark in n.attrs.get(a, ""))]
+    found = [n for n in nodes if n.tag == "article"] + marked + [n for n in nodes if n.tag == "main"]
+    return list(dict.fromkeys(found)) or [n for n in nodes if n.tag == "body"] or [root]
+
+
+def body_of(html: str | None, url: str = "", least: int = 300, limit: int = 60_000) -> str:
+    """Main text: the first of the stated body and the roots' texts with ``least`` characters, else the longest."""
+    texts = [stated_body(html, url), *map(_prose, _body_roots(parse(html)))]
+    return next((t for t in texts if len(t) >= least), max(texts, key=len))[:limit]
 
-    def visit(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, Node) and child.tag not in SILENT and not child.furniture:
-                if child.tag in BLOCKS:
-                    text = child.text()
-                    if len(text) >= 30 and not any(text in f for f in found):
-                        found.append(text)
-                else:
-                    visit(child)
 
-    visit(root)
-    return "\n\n".join(found)
+def _prose(root: Node) -> str:
+    """Blocks of ``LEAST_BLOCK`` characters outside furniture; one that an earlier block holds already is left out."""
+    whole = "\n"
+    pending: list[Node] = [root]
+    while pending:
+        node = pending.pop()
+        text = node.text() if node.tag in BLOCKS and node is not root else ""
+        if len(text) >= LEAST_BLOCK and text not in whole:
+            whole += text + "\n\n"
+        pending.extend(n for n in reversed(node.children) if isinstance(n, Node) and n.tag not in SILENT and not n.furniture)
+    return whole.strip("\n")
 
 
 def dates_of(html: str | None) -> str | None:
@@ -242,7 +281,9 @@ def explode_pages(pages: DataFrame, key: str, html: str, schema: str, take: Call
 
 
 def links(pages: DataFrame, key: str, html: str, url: str) -> DataFrame:
-    return explode_pages(pages, key, html, "url string, title string, near_date string", lambda h, u: links_of(h, u), url)
+    """(key, no, url, title, near_date) of a page's links, URLs in normal form."""
+    found = explode_pages(pages, key, html, "url string, title string, near_date string", lambda h, u: links_of(h, u), url)
+    return found.withColumn("url", normalize_url(F.col("url"))).where("url <> ''")
 
 
 def metas(pages: DataFrame, key: str, html: str) -> DataFrame:
