@@ -238,3 +238,17 @@ def test_sentences_operator(spark, rows):
     got = rows(sentences.sentence_ends(df))
     assert got[:4] == [(3, 4), (3, 4), (3, 9), (3, 9)] and len(got) == 4 + 20_000
     assert sentences.sentence_ends(df.where("false")).collect() == []
+
+
+def test_several_lengths_cost_no_more_than_one():
+    rnd = random.Random(10)
+    histogram = [(s, rnd.randrange(1, 40)) for s in rnd.sample(range(1, 2049), 400)]
+    one = packing.pack(histogram, {2048: packing.LENGTHS[2048]})[2]
+    slots, runs, cost = packing.pack(histogram, packing.LENGTHS)
+    assert cost <= one
+    few = [(700, 1), (2000, 3), (900, 5)]
+    assert packing.pack(few, packing.LENGTHS)[2] < packing.pack(few, {2048: packing.LENGTHS[2048]})[2]
+    assert len({c for _, _, c in packing.pack(few, packing.LENGTHS)[1]}) > 1
+    assert sum(stop - rank for _, rank, stop, *_ in packing._sized(slots, runs)) == sum(n for _, n in histogram)
+    many = {c: c + 16.0 for c in range(128, 2049, 128)}
+    assert packing.pack(histogram, many)[2] <= one

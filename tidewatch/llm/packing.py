@@ -1,11 +1,13 @@
 """Problem 9: items packed into containers of fixed capacity.
 
 Method (variable-capacity best-fit): items go, largest first, into the fullest
-container that still takes them; if none does, one of the cheapest permitted
-capacity is opened.  Each choice of the largest capacity that may be opened is
-tried, every container is finally made as small as a permitted capacity allows,
-and the cheapest result is kept.  With one permitted capacity, which is what
-the project asks for, this is best-fit decreasing.
+container that still takes them; if none does, one is opened.  Which capacity
+is opened for items of which sizes is chosen jointly: sizes fall into bands
+between the permitted capacities, and all assignments of openable capacities to
+bands are tried (by turns, band after band, beyond ``TRIED`` of them).  Every
+container is finally made as small as a permitted capacity allows, and the
+cheapest result of all is kept.  With one permitted capacity, as the project
+asks for its containers, this is best-fit decreasing.
 
 Scale.  Packing sees only how many items there are of each size, a table of at
 most ``capacity`` rows, so the driver's part does not grow with the data: runs
@@ -14,7 +16,7 @@ rank within their size.  Ranks come from hash buckets (``BUCKET_ROWS`` rows
 each), so a size held by a third of all items is spread over as many tasks.
 
 Defined cases.  Null and empty texts have size 0; they take no room and are
-spread over the existing containers (container 0 if there is none).  An item
+spread over the largest group of equal containers (container 0 if there is none).  An item
 above the capacity is split into full containers and one rest; nothing else is
 split.  Repeated rows are packed one by one.  An empty table gives no rows.
 """
@@ -22,14 +24,20 @@ split.  Repeated rows are packed one by one.  An empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import materialize
+from tidewatch.session import broadcast_if_small, materialize
 
 CAPACITY = 2048
+#: Permitted lengths where there are several, and what a container costs: its length and a share for handling it.
+LENGTHS = {c: c + 16.0 for c in (256, 512, 1024, 2048)}
+TRIED = 200
 BUCKET_ROWS = 100_000
 
 #: (size, first rank, end rank, per container, first container, offset): the items of
@@ -85,20 +93,43 @@ def pack(sizes: Sequence[tuple[int, int]], capacities: dict[int, float]) -> tupl
 
     ``capacities`` maps each permitted capacity to the cost of a container.
     """
-    best = None
-    for largest in sorted(capacities):
-        if sizes and max(s for s, _ in sizes) > largest:
-            continue
-        permitted = [c for c in capacities if c <= largest]
-        opening = {s: min((c for c in permitted if c >= s), key=lambda c: (capacities[c] / c, -c)) for s, _ in sizes}
-        slots, runs = _best_fit(sizes, opening)
-        sized = [(first, n, min((c for c in permitted if c >= content), key=lambda c: (capacities[c], c))) for first, n, content in runs]
-        cost = sum(n * capacities[c] for _, n, c in sized)
-        if best is None or cost < best[2]:
-            best = (slots, sized, cost)
-    if best is None:
+    permitted = sorted(capacities)
+    if sizes and max(s for s, _ in sizes) > permitted[-1]:
         raise ValueError("an item exceeds every permitted capacity")
-    return best
+    bands = sorted({bisect.bisect_left(permitted, s) for s, _ in sizes})  # the smallest capacity that takes a size names its band
+    choices = [range(band, len(permitted)) for band in bands]
+
+    @cache
+    def packed(opening: tuple[int, ...]) -> tuple[list[Slot], list[tuple[int, int, int]], float]:
+        capacity_of = {band: permitted[c] for band, c in zip(bands, opening)}
+        slots, runs = _best_fit(sizes, {s: capacity_of[bisect.bisect_left(permitted, s)] for s, _ in sizes})
+        sized = [(first, n, min((c for c in permitted if c >= content), key=lambda c: (capacities[c], c))) for first, n, content in runs]
+        return slots, sized, sum(n * capacities[c] for _, n, c in sized)
+
+    if math.prod(map(len, choices)) <= TRIED:
+        best = min(itertools.product(*choices), key=lambda opening: packed(opening)[2])
+    else:
+        best = tuple(len(permitted) - 1 for _ in bands)
+        while True:
+            before = best
+            for i, choice in enumerate(choices):
+                best = min([best, *((*best[:i], c, *best[i + 1 :]) for c in choice)], key=lambda opening: packed(opening)[2])
+            if best == before:
+                break
+    return packed(best)
+
+
+def _sized(slots: list[Slot], runs: list[tuple[int, int, int]]) -> list[tuple[int, ...]]:
+    """Slots cut where the final capacity of their containers changes, with that capacity."""
+    runs = sorted(runs)
+    starts, found = [first for first, _, _ in runs], []
+    for size, rank, stop, per, first, content in slots:
+        while rank < stop:
+            run_first, n, capacity = runs[bisect.bisect_right(starts, first) - 1]
+            end = min(stop, rank + (run_first + n - first) * per)
+            found.append((size, rank, end, per, first, content, capacity))
+            rank, first = end, run_first + n
+    return found
 
 
 def containers(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacities: dict[int, float] | None = None) -> DataFrame:
@@ -118,7 +149,6 @@ def containers(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
     histogram = [(r["n"], r["count"]) for r in parts.groupBy("n").count().collect()]  # at most ``most`` + 1 rows
     slots, runs, _ = pack([(s, c) for s, c in histogram if s > 0], capacities)
     total = sum(c for _, c in histogram)
-    opened = max([first + n for first, n, _ in runs], default=0)
 
     buckets = max(1, -(-total // BUCKET_ROWS))
     placed = parts.withColumn("bucket", F.pmod(F.xxhash64("tw_key", "part_no"), F.lit(buckets)))
@@ -130,12 +160,10 @@ def containers(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
     ranked = sized.withColumn("row", F.row_number().over(within) - 1).join(offsets, ["n", "bucket"])
     ranked = ranked.select("tw_key", "part_no", "n", (F.col("start") + F.col("row")).alias("rank"))
 
-    table = spark.createDataFrame(slots, "n int, first bigint, stop bigint, per bigint, bin bigint, content bigint")
-    by_size = table.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("first", "per", "bin", "content"))).alias("slots"))
-    # bounded by the capacity: a few slots for each size
-    found = ranked.join(F.broadcast(by_size), "n").withColumn(
-        "slot", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1)
-    )
+    table = spark.createDataFrame(_sized(slots, runs), "n int, first bigint, stop bigint, per bigint, bin bigint, content bigint, capacity int")
+    by_size = table.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("first", "per", "bin", "content", "capacity"))).alias("slots"))
+    by_size = broadcast_if_small(materialize(by_size, "slots"))
+    found = ranked.join(by_size, "n").withColumn("slot", F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1))
     j = F.col("rank") - F.col("slot.first")
     seated = found.select(
         "tw_key",
@@ -143,17 +171,11 @@ def containers(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", ca
         "n",
         (F.col("slot.bin") + F.floor(j / F.col("slot.per"))).cast("bigint").alias("bin_id"),
         (F.col("slot.content") + F.pmod(j, F.col("slot.per")) * F.col("n")).cast("int").alias("bin_offset"),
+        F.col("slot.capacity").alias("capacity"),
     )
+    first, some, capacity = max(runs, key=lambda r: r[1], default=(0, 1, most))  # the longest run of equal containers
     empty = placed.where("n = 0").select(
-        "tw_key", "part_no", "n", F.pmod(F.xxhash64("tw_key"), F.lit(max(1, opened))).cast("bigint").alias("bin_id"), F.lit(0).alias("bin_offset")
+        "tw_key", "part_no", "n", (F.pmod(F.xxhash64("tw_key"), F.lit(some)) + first).cast("bigint").alias("bin_id"), F.lit(0).alias("bin_offset"), F.lit(capacity).alias("capacity")
     )
     placed = seated.unionByName(empty)
-    if len(capacities) == 1:
-        placed = placed.withColumn("capacity", F.lit(most))
-    else:
-        sizes = spark.createDataFrame(runs or [(0, 1, most)], "first bigint, bins bigint, capacity int")
-        ranges = F.broadcast(sizes.agg(F.array_sort(F.collect_list(F.struct("first", "capacity"))).alias("runs")))
-        placed = placed.join(ranges).withColumn(
-            "capacity", F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("bin_id")), -1)["capacity"]
-        ).drop("runs")
     return placed.select(F.col("tw_key").alias(key), "part_no", F.col("n").alias("n_tokens"), "bin_id", "bin_offset", "capacity")

@@ -88,6 +88,23 @@ def p9_fill(spark, sf_dir):
     return bins.agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("n_tokens"), F.max("capacity").alias("capacity"))
 
 
+@CATALOGUE.query("p9_lengths")
+def p9_lengths(spark, sf_dir):
+    """Containers of several permitted lengths, each as short as its content allows."""
+    return packing.containers(_sizes(spark, sf_dir), capacities=packing.LENGTHS)
+
+
+@CATALOGUE.query("p9_costs")
+def p9_costs(spark, sf_dir):
+    """Containers, room and fill with one permitted length and with several."""
+    sizes, found = _sizes(spark, sf_dir), None
+    for name, lengths in (("one", {packing.CAPACITY: packing.LENGTHS[packing.CAPACITY]}), ("several", packing.LENGTHS)):
+        bins = packing.containers(sizes, capacities=lengths).groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.max("capacity").alias("room"))
+        row = bins.agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("n_tokens"), F.sum("room").alias("room")).select(F.lit(name).alias("lengths"), "*")
+        found = row if found is None else found.unionByName(row)
+    return found.withColumn("fill", F.round(F.col("n_tokens") / F.col("room"), 4))
+
+
 def _sizes(spark, sf_dir):
     return materialize(tokens.token_counts(table(spark, sf_dir, "documents")), "token-counts")
 

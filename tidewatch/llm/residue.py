@@ -43,128 +43,193 @@ from tidewatch.session import materialize
 CONTAINED = 0.7
 COVERED = 0.5
 MENTIONED = 0.5
+#: A passage is a notice too if the words of all notices together hold this share of its weight, and are so many.
+COVERED_TOGETHER = 0.7
+TOGETHER = 3
 CONTENT_WORDS = 30
 FILLER_SHARE = 0.8
 FILLER_WORDS = 8
 
-# Labelled exemplars, fixed values.  ``notice`` counts where it stands for the
-# content, ``template`` wherever it stands, ``mention`` speaks of either.
+# Labelled exemplars, fixed values: phrases of web servers, proxies, runtimes,
+# browsers and content systems as they are commonly met, none taken from the
+# project's tables.  ``notice`` counts where it stands for the content,
+# ``template`` wherever it stands, ``mention`` speaks of either.
 NOTICES = """
-page not found
-try the search box or return to the home page
-we could not find the page you asked for
-it may have moved or been deleted
-the page you are looking for does not exist
-the requested url was not found on this server
+error 404
 error 404 not found
-404
-403
+404 page not found
+page not found
+file or directory not found
+oops that page can not be found
+sorry we can not find the page you requested
+the page you requested could not be found
+the page you were looking for does not exist
+this page does not exist or is no longer available
+we could not find that page
+it may have been moved or deleted
+this page could not be found try searching or return home
+the link may be broken or the page may have been moved removed deleted or renamed
+it looks like nothing was found at this location maybe try a search
+use the search box or go back to the home page
+return to the homepage
 410 gone
-access denied
-you do not have permission to view this page
+the requested resource is no longer available and has been removed
+400 bad request
+your browser sent a request that this server could not understand
+401 unauthorized
 403 forbidden
-error code permission reference denied on this server
+access denied
+you are not authorized to view this page
+you do not have permission to access this resource on this server
+429 too many requests
 500 internal server error
-an unexpected error has occurred code
-our team has been told
-something went wrong please try again later
+the server encountered an internal error and was unable to complete your request
+an unexpected error occurred
+something went wrong
+please try again later
+an application error has occurred error code
+our team has been notified of this incident
+we have been told about the problem
+your request could not be completed
+the request was not processed
 502 bad gateway
+the proxy server received an invalid response from an upstream server
 503 service unavailable
-the server is down for maintenance request was not completed
-gateway timed out
-upstream host did not answer within seconds
+service temporarily unavailable
+the server is temporarily unable to service your request due to maintenance downtime or capacity problems
+the site is down for scheduled maintenance
 504 gateway timeout
-fatal error uncaught typeerror in srv render php on line
+gateway time out
+gateway timed out
+the upstream server did not respond in time
+the host did not answer within the time allowed
+no answer from host after seconds
+connection timed out after seconds
+this site can not be reached
+error establishing a database connection
+fatal error uncaught exception thrown in on line
+warning undefined variable on line
 stack trace main thrown
-0 main thrown
-warning undefined variable in on line
+main thrown
+unhandled exception
+undefined
+object object
+nan
+null
+nan null
 you need to enable javascript to run this app
-please turn on javascript and cookies in your browser to read
 please enable javascript to view this page
+please enable javascript and cookies to continue
+please turn on javascript in your browser and reload the page
+javascript is required
 javascript is disabled in your browser
-this content needs scripts to run
-enable scripting and reload
+this site requires scripts to be enabled
+this content can not be shown without scripts
+enable scripts
+enable scripting in your browser
+scripts must be allowed to run
+please switch on javascript to continue reading
+cookies and javascript must be turned on to read this page
+wait while we check your connection
 just a moment
-we are checking that your connection to is secure before you continue
-ray 0
 checking your browser before accessing
-verify you are human captcha
-too many requests
-this site can not be reached
-database connection error
-undefined
-object object
-nan min null
-null
+checking if the site connection is secure
+needs to review the security of your connection before you continue
+verify you are human
+ray id
+fehler 404
 seite nicht gefunden
-die angeforderte seite existiert nicht mehr
-fehler 404 die seite wurde nicht gefunden
+die angeforderte seite wurde nicht gefunden
+die seite existiert nicht mehr oder wurde verschoben
 zugriff verweigert
 interner serverfehler
-bitte aktivieren sie javascript um diese seite anzuzeigen
-ein unerwarteter fehler ist aufgetreten bitte versuchen sie es später erneut
-erreur 404 la page demandée est introuvable
+dienst nicht verfügbar
+es ist ein fehler aufgetreten bitte versuchen sie es später erneut
+bitte aktivieren sie javascript in ihrem browser
+javascript ist deaktiviert
+um die inhalte anzuzeigen muss javascript aktiviert sein
+zum anzeigen dieser seite wird javascript benötigt
+ein unerwarteter fehler ist aufgetreten
+erreur 404
 page introuvable
-retour à l accueil
+page non trouvée
+la page que vous recherchez est introuvable ou a été déplacée
+retour à la page d accueil
 accès refusé
 erreur interne du serveur
-cette page nécessite javascript
-veuillez l activer dans votre navigateur
+service indisponible
 une erreur est survenue veuillez réessayer plus tard
+veuillez activer javascript dans votre navigateur
+ce site nécessite javascript
+javascript doit être activé pour afficher cette page
+revenir à l accueil
+error 404
 página no encontrada
-el enlace ya no está disponible
+la página que busca no existe o ya no está disponible
+el enlace no está disponible
 acceso denegado
 error interno del servidor
-inténtelo de nuevo más tarde
-esta página requiere javascript
-active javascript en su navegador
+servicio no disponible
+se ha producido un error inténtelo de nuevo más tarde
+debe activar javascript en su navegador
+este sitio requiere javascript
+vuelva a intentarlo más tarde
+active javascript para ver esta página
 """
 TEMPLATES = """
-body copy goes here
-heading goes here
-replace this text with your own before publishing
-insert headline here
-insert executive summary max 0 words
+goes here
+your text goes here
 insert text here
+insert title here
+insert max words
+insert headline here
+insert heading here
+insert summary here
 insert image here
-author name title
-add quote from spokesperson
-add caption here
-add summary here
-click to edit this text
+insert quote here
+insert caption here
+insert name here
+add headline
+add summary
+add image
+add caption
+add quote
+replace this text with your own
+replace this placeholder text before publishing
+add your text here
+enter your text here
+type your text here
+click here to edit this text
+placeholder text
 sample text
-your text here
 this is a sample page
-text hier einfügen
+author name title
 platzhaltertext
-überschrift hier einfügen
-insérer le titre ici
+hier einfügen
+hier eingeben
+insérer ici
+inserte aquí
+text hier einfügen
+titel hier einfügen
 insérer le texte ici
-texte à remplacer avant publication
+insérer le titre ici
+texte à remplacer
+inserte aquí el texto
 inserte aquí el título
 texto de ejemplo
 """
 MENTIONS = """
-the placeholder in the treaty template drew laughter in committee
-the schema writes every variable as and leaves filling it to the clerk
-the leaked form letter still greeted voters as which officials called a clerical slip
-the manual explains that is replaced when letters are printed
-im formbrief stand noch was die behörde als versehen bezeichnete
-la lettre type de portait encore une erreur selon le service
-la carta modelo de aún decía un descuido según la agencia
-designers still call their dummy paragraphs lorem ipsum a habit the style office wants to end
-visitors to the portal saw a 404 notice for nine days the audit found
-a study compares page not found messages in 0 languages
-auditors counted public sites that fail when javascript is switched off
-was the title gave its report on
-die seite nicht gefunden blieb neun tage sichtbar so der prüfbericht
-les usagers ont vu l erreur 404 pendant neuf jours note l audit
-el portal mostró el error 404 durante nueve días según la auditoría
+the report said users saw the message error 404
+a study of page not found messages
+sites that fail when javascript is switched off
+the placeholder was printed in the letter
+the template variable is filled in later
+the word stands for text that nobody has written
 """
 # Words by which a sentence speaks of slots.
 SLOT_WORDS = frozenset(
-    "placeholder placeholders template templates variable variables schema syntax manual boilerplate merge markup "
-    "platzhalter vorlage formbrief musterbrief variablen modèle gabarit plantilla marcador marcadores".split()
+    "placeholder placeholders template templates variable variables schema syntax manual boilerplate merge markup letter letters slip misprint typo "
+    "platzhalter vorlage formbrief musterbrief variablen versehen modèle gabarit lettre courrier formulaire coquille plantilla marcador marcadores carta formulario descuido errata".split()
 )
 # Beginnings of the words of the usual filler text.
 FILLER = frozenset(
@@ -174,14 +239,15 @@ FILLER = frozenset(
 )
 
 _SLOT = (
-    r"\{\{\{?[^{}\n]{0,60}\}?\}\}|\$\{[^{}\n]{1,60}\}|\{%[^%\n]{0,160}%\}|<%[=-]?[^%\n]{0,80}%>|%%[^\W\d][\w -]{1,40}%%"
+    r"\{(?:\d{1,2}|[A-Za-z]+_\w{1,40}|[A-Z]{3,40})\}|(?:<|&lt;)[?][=a-z][^\n?]{0,80}[?](?:>|&gt;)|&lt;%[=-]?[^%\n]{0,80}%&gt;"
+    r"|\{\{\{?[^{}\n]{0,60}\}?\}\}|\$\{[^{}\n]{1,60}\}|\{%[^%\n]{0,160}%\}|<%[=-]?[^%\n]{0,80}%>|%%[^\W\d][\w -]{1,40}%%"
     r"|%[A-ZÀ-Þ_]{3,40}%|\[\[[^\[\]\n]{1,60}\]\]|<<[A-Za-z][\w -]{1,40}>>|__[A-Z][A-Z_ ]{2,40}?__|@@[A-Za-z][\w -]{1,40}@@"
     r"|#[A-Z][A-Z_]{2,30}#|\[[A-ZÀ-Þ][A-ZÀ-Þ_ -]{2,40}\]|\bXX+(?=\s*(?:%|percent|per cent|Prozent|pour cent|por ciento|million|PERCENT))|\bXX+[.,]X+\b"
 )
 SLOT = re.compile(_SLOT)
 #: The same for the JVM's filter, coarser: it may let too much pass, never too little.
-SLOT_MARKS = ("{{", "${", "{%", "<%", "%%", "[[", "<<", "__", "@@", "XX")
-SLOT_PATTERNS = (("%", r"%[\p{Lu}_]{3,}%"), ("#", r"#[A-Z_]{3,}#"), ("[", r"\[\p{Lu}[\p{Lu}_ -]+\]"))
+SLOT_MARKS = ("{{", "${", "{%", "<%", "%%", "[[", "<<", "__", "@@", "XX", "<?", "&lt;?", "&lt;%")
+SLOT_PATTERNS = (("{", r"\{[\p{L}\d_]+\}"), ("%", r"%[\p{Lu}_]{3,}%"), ("#", r"#[A-Z_]{3,}#"), ("[", r"\[\p{Lu}[\p{Lu}_ -]+\]"))
 #: Eight words of which four fifths are filler have three such words in a row.
 _BY_LETTER = {f[0]: sorted(g[1:] for g in FILLER if g[0] == f[0]) for f in sorted(FILLER)}
 FILLER_JVM = r"(?:\b(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in _BY_LETTER.items()) + r")\p{L}*[^\p{L}\p{N}]+){3}"
@@ -193,11 +259,20 @@ CODE = re.compile(r"\b(?=\w*\d)(?=\w*[a-z])[0-9a-z]{5,}(?:\.[0-9a-z]+)*\b", re.I
 SLOT_TOKEN = "\x00slot"
 
 
-def tokens(text: str) -> list[str]:
+#: Words are compared by so many letters, so that their endings don't count.
+STEM = 5
+
+
+def words_of(text: str) -> list[str]:
     """Lower-case words; numbers as they are up to three digits, else '0'; codes of letters and digits as '0'."""
     return [t if not t[0].isdigit() or len(t) == 3 else "0" for t in TOKEN.findall(CODE.sub("0", text.lower()))]
 
 
+def tokens(text: str) -> list[str]:
+    """The beginnings of the words."""
+    return [t[:STEM] for t in words_of(text)]
+
+
 def _exemplars() -> list[tuple[str, frozenset[str]]]:
     found = []
     for label, block in (("notice", NOTICES), ("template", TEMPLATES), ("mention", MENTIONS)):
@@ -219,6 +294,9 @@ class Index:
             for t in ts:
                 self.postings.setdefault(t, []).append(i)
 
+        self.noticed = {t for label, ts in self.exemplars if label == "notice" for t in ts}
+        self.telling = {t for t in self.keys() if t in self.noticed}
+
     def keys(self) -> list[str]:
         """Tokens without any of which no notice or template can be contained."""
         found = set()
@@ -247,14 +325,26 @@ class Index:
                 best[label] = score
         return best
 
+    def is_notice(self, window: set[str]) -> bool:
+        """Whether notices cover a passage: one exemplar contained in it and covering half of it, or all of them together most of it."""
+        best = self.scores(window)
+        held, covered = best.get("notice", (0.0, 0.0))
+        if best.get("mention", (0.0, 0.0))[0] >= max(held, MENTIONED):
+            return False
+        if held >= CONTAINED and covered >= COVERED:
+            return True
+        known = window & self.noticed
+        whole = sum(self.weight.get(t, self.most) for t in window) or 1.0
+        return len(known) >= TOGETHER and bool(known & self.telling) and sum(self.weight[t] for t in known) >= COVERED_TOGETHER * whole
+
 
 def _own_slot(window: str, line: str, index: Index) -> bool:
     """Whether a window holds an unfilled slot that it doesn't merely speak of."""
     found = [m for m in SLOT.finditer(window) if not (m.group()[0] == "[" and m.group()[1] != "[" and m.group() == line.strip(" *•»|›…\t\r"))]
     if not found:
         return False
-    words = set(tokens(SLOT.sub(" ", window)))
-    if words & SLOT_WORDS or index.scores(words).get("mention", (0, 0))[0] >= MENTIONED:
+    words = set(words_of(SLOT.sub(" ", window)))
+    if words & SLOT_WORDS or index.scores({w[:STEM] for w in words}).get("mention", (0, 0))[0] >= MENTIONED:
         return False
     return any(not (window[m.start() - 1 : m.start()] in OPEN_QUOTES and m.start() and window[m.end() : m.end() + 1] and window[m.end()] in CLOSE_QUOTES) for m in found)
 
@@ -269,18 +359,20 @@ def is_residue(text: str | None, index: Index, own: frozenset[str] | None = None
     if not text or text.isspace():
         return False
     notices, left = 0, 0
+    before: set[str] = set()
     for line in text.split("\n"):
         mine = own is None or line in own
         for window in SENTENCE.split(line):
             if not window or window.isspace():
                 continue
-            words = tokens(SLOT.sub(" ", window))
+            words = words_of(SLOT.sub(" ", window))
             if _own_slot(window, line, index) or _is_filler(words):
                 if mine:
                     return True
                 notices += 1
                 continue
-            best = index.scores(set(words))
+            here = {w[:STEM] for w in words}
+            best = index.scores(here)
             mention = best.get("mention", (0.0, 0.0))[0]
             held, covered = best.get("template", (0.0, 0.0))
             if held >= 0.85 and covered >= COVERED and mention < held:
@@ -288,11 +380,12 @@ def is_residue(text: str | None, index: Index, own: frozenset[str] | None = None
                     return True
                 notices += 1
                 continue
-            held, covered = best.get("notice", (0.0, 0.0))
-            if held >= CONTAINED and covered >= COVERED and mention < held:
+            # a passage is a sentence, or two of them
+            if index.is_notice(here) or before and here and index.is_notice(before | here):
                 notices += 1
             elif mine and len(words) > 6 and window.rstrip()[-1:] in ".!?。！？…”’»\"')":
                 left += max(len(words), len(window) // 6)
+            before = here
     return notices > 0 and left < CONTENT_WORDS
 
 
@@ -300,7 +393,7 @@ def found(items: DataFrame, key: str = "item_id", source: str = "institution", t
     """(key) of each record to be excluded."""
     rows = items.select(F.col(key).alias("tw_key"), F.col(source).alias("tw_src"), F.col(text).alias("tw_body"), F.col(text).alias("tw_whole"))
     vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, ts in _exemplars() for t in ts})])
-    words = F.split(F.lower("tw_body"), r"[^\p{L}\p{N}]+")
+    words = F.transform(F.split(F.lower("tw_body"), r"[^\p{L}\p{N}]+"), lambda w: F.left(w, F.lit(STEM)))
     counted = rows.select(F.explode(F.array_intersect(words, vocabulary)).alias("token")).groupBy("token").count()
     counts = {r["token"]: r["count"] for r in counted.collect()}  # at most one row per exemplar token
     documents = rows.where("tw_body IS NOT NULL").count()
