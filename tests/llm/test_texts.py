@@ -224,7 +224,10 @@ def test_packing_of_nothing(spark):
     ],
 )
 def test_sentences(text, units):
-    corpus = sentences.Corpus(common=frozenset("he repairs that space die the la and they".split()))
+    words = lambda s: frozenset(s.split())
+    corpus = sentences.Corpus(
+        words("he repairs that space die the la and they"), words("e.g bzw tues b r uu"), words("p.m u.s usw"), words("dr mr k j m st sra"), words("art abs nr no fig"), words("oktober"), words("vgl ee")
+    )
     begin, found = 0, []
     for end in sentences.ends(text, corpus):
         found.append(text[begin:end].strip())
@@ -232,6 +235,18 @@ def test_sentences(text, units):
     assert found == units
 
 
+def test_abbreviations_are_learnt(spark):
+    rnd = random.Random(3)
+    name = lambda: "".join(rnd.choice("aeioulmnrst") for _ in range(7)).capitalize()
+    texts = [
+        f"Then Qr. {name()} came at {n} x.m. to the gate. It was see Fgr. {n} on the wall. They left on 3. Mober and the gate shut. The rest, i.q. the wall, stood until 9 x.m. It fell."
+        for n in range(2, 30)
+    ]
+    corpus = sentences.corpus_tables(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert corpus.naming == {"qr"} and corpus.referring == {"fgr"} and corpus.closing == {"x.m"} and corpus.inner == {"i.q"} and corpus.ordinal == {"mober"}
+    assert len(sentences.ends(texts[0], corpus)) == 5 and len(sentences.ends(texts[0])) > 5
+
+
 def test_sentences_operator(spark, rows):
     data = [(1, None, 0), (2, " ", 0), (3, "A b. C d.", 0), (3, "A b. C d.", 0), (4, "Word and more. " * 20_000, 0)]
     df = spark.createDataFrame(data, "doc_id bigint, text string, word int")

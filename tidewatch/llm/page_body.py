@@ -345,9 +345,10 @@ class Known:
 def body_lines(text: str, url: str, title: str, known: Known) -> list[int]:
     """Numbers (from 1) of the lines of the main body."""
     lines = text.split("\n")
-    slug = _letters(re.sub(r"[?#].*", "", url).rstrip("/").rsplit("/", 1)[-1].rsplit("-", 1)[0]) if url else ""
+    path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*", "", url).rstrip("/")
+    slug = _letters(path.rsplit("/", 1)[-1].rsplit("-", 1)[0])
     named = _letters(title)
-    want = [w for w in (slug, named) if len(w) > 3]
+    want = [w for w in (slug, named) if len(w) > 3 and not w.isdigit()]  # a number names no article
     at = -1
     for w in want:
         at = next((i for i, line in enumerate(lines) if (x := _letters(line)) and (x.startswith(w) and len(x) < len(w) + 120 or len(x) > 20 and w.startswith(x) and w is named)), -1)

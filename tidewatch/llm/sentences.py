@@ -1,12 +1,24 @@
 """Problem 10: sentence units across languages and scripts.
 
 Method (document-centred disambiguation): whether a period ends a sentence is
-settled, where it is in doubt, by what the same document shows elsewhere: a
-short word met with a period before a lower-case word or a comma is an
-abbreviation; a word met in lower case is no proper name, so a capital on it
-starts a sentence.  Where the document shows nothing, the whole corpus is
-asked.  Scripts without capitals or spaces have terminator rules of their own.
-Quotations and brackets inside a sentence suspend its terminators.
+settled, where it is in doubt, by unambiguous occurrences elsewhere: first in
+the document, then in the whole corpus.  A word that the document has in lower
+case is no proper name, so a capital on it starts a sentence.  Of each short
+word before a period it is counted what follows:
+
+* a lower-case word or a comma: it is an abbreviation; if capitals follow it too,
+  it may also close a sentence, and does so before one,
+* numbers mostly: it refers, and ends nothing before a number,
+* capitals, of many different words that are never met in lower case: it stands
+  before names and ends nothing, unless it has periods inside (U.S.),
+
+* one and the same word, and it is never met without the period: it is bound to that
+  word if that is an abbreviation too,
+
+and of each word how often it follows a number with a period (German ordinals).
+No list of abbreviations, titles or months is used.  Scripts without capitals
+or spaces have terminator rules of their own.  Quotations and brackets inside a
+sentence suspend its terminators.
 
 Scale.  Two passes, each without a shuffle of texts.  The first counts words
 per batch and sends only sums to the shuffle.  A word enters the corpus tables
@@ -27,39 +39,16 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.dates import MONTHS
 from tidewatch.session import materialize
 
 SHARE = 5e-6
 
-# Abbreviations after which no sentence ends.
-NEVER = frozenset(
-    "e.g i.e cf vs viz approx ca incl excl resp esp bzw vgl zb z.b d.h u.a o.ä p.ex ex ej p.ej bspw sog geb ret rev ed eds "
-    "ee т.е т.д тыс млн млрд им ул г-н г-жа ntra".split()
-)
-# Titles and the like, which stand before a name.
-TITLES = frozenset(
-    "dr prof mr mrs ms st mt ste gen col capt cpt lt sgt maj cmdr adm rev hon gov sen rep pres amb supt insp "
-    "hr fr frl dipl ing m mm mme mlle mgr sr sra srta d dña lic dra sig проф акад гр тов".split()
-)
-# References, which stand before a number.
-REFERENCES = frozenset(
-    "no nos nr nrn fig figs sec sect ch chap vol vols p pp pg par para paras art arts abs ziff kap s al t núm pág págs "
-    "cap tab abb bd eq ref app рис табл стр с".split()
-)
-# Abbreviations that may also close a sentence.
-CLOSING = frozenset("etc usw al a.m p.m u.s u.k u.n e.u uu ltd inc corp co jr plc gmbh bc ad b.c a.d i.r r u.s.a др пр г гг jan feb mar apr jun jul aug sep sept oct nov dec mon tue tues wed thu thur thurs fri sat sun".split())
-# What stands before a German ordinal, and nouns that follow one.
-BEFORE_ORDINAL = frozenset("am im vom zum zur dem den der des die das beim bis ab seit jeden jedem ihr sein".split())
-AFTER_ORDINAL = frozenset("jahrhundert jahrhunderts auflage mal jahrestag platz rang etage stock klasse weltkrieg kapitel".split()) | {
-    name for names in MONTHS.values() for name in names.split() if len(name) > 2
-} | {"märz", "jänner"}
-
 TERMINATORS = re.compile(r"[.!?…。！？｡؟۔।॥]+(?:[   ][!?]+)*")
 STRONG = frozenset("。！？｡؟۔।॥")
 #: Opening marks and what closes them.
@@ -74,7 +63,6 @@ NUMBER = re.compile(r"[^\S\n]*\(?(\d{1,3})[.)][^\S\n]+\S")
 LETTER = re.compile(r"[^\S\n]*\(?([a-z])\)[^\S\n]+\S")
 
 WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
-DOTTED = re.compile(r"([^\W\d_]+(?:\.[^\W\d_]+)*)\.(?=(\s*[,;:])|\s+([^\W\d_]))")
 _L = r"(?:[^\W\d_]|[\u00ad\u200b-\u200d\u2060\ufeff])"  # invisible characters inside a word belong to it
 BEFORE = re.compile(rf"(\d[\d.,]*|{_L}+(?:[.-]{_L}+)*)$")
 PREVIOUS = re.compile(r"([^\W\d_]+|\d+)(\.?)\s*$")
@@ -96,11 +84,21 @@ def _script(c: str) -> str:
     return "cased" if c.lower() != c.upper() else unicodedata.name(c, "?").split(" ")[0]
 
 
-class Corpus:
-    """What the whole corpus shows: abbreviations and words usual in lower case."""
+class Corpus(NamedTuple):
+    """What the whole corpus shows of words before a period, by what follows, and of words at large."""
 
-    def __init__(self, abbreviations: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()):
-        self.abbreviations, self.common = abbreviations, common
+    common: frozenset[str] = frozenset()  #: usual in lower case
+    inner: frozenset[str] = frozenset()  #: abbreviations that end no sentence
+    closing: frozenset[str] = frozenset()  #: abbreviations that may close one
+    naming: frozenset[str] = frozenset()  #: what stands before names
+    referring: frozenset[str] = frozenset()  #: what stands before numbers
+    ordinal: frozenset[str] = frozenset()  #: what follows an ordinal number
+    bound: frozenset[str] = frozenset()  #: never met without a period, and followed by one word only
+
+
+#: A short word before a period, and what follows: a comma, or (behind opening marks) a word or number.
+CONTEXT = re.compile(r"(?<![^\W_])(?<![^\W_]\.)(?<![^\W_][’'-])([^\W\d_]{1,6}(?:\.[^\W\d_]{1,3}){0,3})\.(?=(\s*[,;:])|\s+[“„«‹「(\[‘\"'¿¡]*(\w+))")
+ORDINAL = re.compile(r"(?<![\w.,])\d{1,2}\. ([^\W\d_]+)")
 
 
 class _Document:
@@ -109,25 +107,35 @@ class _Document:
     def __init__(self, text: str, corpus: Corpus):
         self.text, self.corpus = text, corpus
         self._lower: set[str] | None = None
-        self._dotted: set[str] | None = None
+        self._inner: set[str] | None = None
 
     def usual_in_lower_case(self, word: str) -> bool:
         if self._lower is None:
-            self._lower = {w for w in WORD.findall(self.text) if w[0].islower()}
+            self._lower = {w for w in set(WORD.findall(self.text)) if w[0].islower()}
         return word.lower() in self._lower or word.lower() in self.corpus.common
 
     def is_abbreviation(self, word: str) -> bool:
+        """Whether the document has the word with a period before a comma or a lower-case word, or the corpus takes it for one."""
+        if word in self.corpus.inner or word in self.corpus.naming or word in self.corpus.closing or word in self.corpus.referring:
+            return True
         if len(word) > 6:
             return False
-        if self._dotted is None:
-            met = set()
-            for m in DOTTED.finditer(self.text):
-                if m[2] or m[3] and m[3].islower():
-                    met.add(m[1].lower())
-            self._dotted = met
-        if word in self._dotted:
+        if self._inner is None:
+            self._inner = {m[1].lower() for m in CONTEXT.finditer(self.text) if m[2] or m[3][0].islower()}
+        return word in self._inner
+
+    def ends_before_capital(self, word: str, following: str, following_dotted: bool) -> bool:
+        """Whether ``word`` with a period ends a sentence before the capital of ``following``."""
+        corpus = self.corpus
+        if following_dotted and self.is_abbreviation(following.lower()) and following.lower() not in corpus.closing:
+            return word not in corpus.bound and not self.is_abbreviation(word)
+        if word in corpus.naming:
+            return False
+        if word in corpus.closing:
             return True
-        return word in self.corpus.abbreviations
+        if self.is_abbreviation(word):
+            return following != "" and self.usual_in_lower_case(following)
+        return True
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
@@ -210,11 +218,11 @@ def _ends(doc: _Document, text: str, start: int, stop: int, after: int) -> bool:
         left = text[max(0, start - 2) : start]
         lost = len(left) == 2 and (left.isalpha() and left[1].islower() or left.isdigit()) and _is_upper(c) and len(following) > 1 and following[1:].islower()
         word = (BEFORE.search(text, max(0, start - 40), start) or ["", ""])[1].lower()
-        if "." in word and word in CLOSING:  # p.m.Nobody
+        if "." in word and word in doc.corpus.closing:  # p.m.Nobody
             return _is_upper(c) and len(following) > 1 and following[1:].islower()
         if not lost or text[start + 1 : start + 2] == "-":
             return False
-        return not (word in TITLES and left[0].isupper()) and word not in NEVER and word not in REFERENCES
+        return doc.ends_before_capital(word, following, False)
     if closed:
         return not (bracket and c.isdigit())
     if not c.isalnum():
@@ -225,37 +233,32 @@ def _ends(doc: _Document, text: str, start: int, stop: int, after: int) -> bool:
     if not word:
         return not (bracket and c.isdigit())
     earlier = PREVIOUS.search(text, max(0, found.start() - 40), found.start())
+    dotted = text[at + len(following) : at + len(following) + 1] == "."
     if word[0].isdigit():
         if len(word) <= 2 and following:
-            if earlier and earlier[2] and (earlier[1].lower() in REFERENCES or doc.is_abbreviation(earlier[1].lower())):
+            if earlier and earlier[2] and doc.is_abbreviation(earlier[1].lower()):
                 return True
-            if following.lower() in AFTER_ORDINAL:
-                return False
-            return not (earlier and not earlier[2] and earlier[1].lower() in BEFORE_ORDINAL and not doc.usual_in_lower_case(following))
+            return following.lower() not in doc.corpus.ordinal
         return True
-    if len(raw) == 1 and raw.islower() and len(following) == 1 and text[at + 1 : at + 2] == ".":
+    if len(raw) == 1 and raw.islower() and len(following) == 1 and dotted:
         return False  # z. B., i. R.
     if len(word) == 1 and earlier and earlier[2] and len(earlier[1]) == 1:  # p. m., z. B., i. R.
         pair = f"{earlier[1].lower()}.{word}"
-        if pair in CLOSING:
-            return following != "" and doc.usual_in_lower_case(following) or pair in ("p.m", "a.m")
-        if pair in NEVER:
-            return False
-    if word in CLOSING and word not in ("co", "al", "m") or word in ("co", "al") and not bracket:
-        return not bracket and not (c.isdigit() and (raw[0].isupper() or "." in raw))
-    if word in REFERENCES and (c.isdigit() or following.isupper() and set(following) <= set("IVXLCDM")):
-        return False
-    if word in TITLES and raw[0].isupper() or word in NEVER:
+        if pair in doc.corpus.closing:
+            return True
+        if pair in doc.corpus.inner or raw.islower():
+            return following != "" and doc.usual_in_lower_case(following)
+    if c.isdigit():
+        return not bracket and word not in doc.corpus.referring and not (len(word) <= 6 and doc.is_abbreviation(word) and word not in doc.corpus.closing)
+    if len(word) > 1 and "-" in raw and len(raw.rsplit("-", 1)[1]) == 1:  # J.-P.
         return False
     if len(raw) == 1 and raw.isupper():  # an initial, unless a sentence plainly starts
-        return following != "" and len(following) > 1 and doc.usual_in_lower_case(following)
-    if word in REFERENCES:
-        return len(word) > 1 or doc.usual_in_lower_case(following)
-    if len(word) > 1 and "-" in raw and len(raw.rsplit("-", 1)[1]) == 1:  # J.-P.
+        return word not in doc.corpus.naming and len(following) > 1 and doc.usual_in_lower_case(following)
+    if word in doc.corpus.referring and following.isupper() and set(following) <= set("IVXLCDM"):
+        return False
+    if bracket and doc.is_abbreviation(word):
         return False
-    if doc.is_abbreviation(word):
-        return following != "" and doc.usual_in_lower_case(following)
-    return not (bracket and c.isdigit())
+    return doc.ends_before_capital(word, following, dotted)
 
 
 def _flow(doc: _Document, text: str, base: int) -> Iterator[int]:
@@ -267,7 +270,12 @@ def _flow(doc: _Document, text: str, base: int) -> Iterator[int]:
     cuts = []
     for m in TERMINATORS.finditer(text):
         start, stop = m.span()
+        # a long word, a period, a space and a capital: nothing is in doubt
+        plain = stop == start + 1 and text[start] == "." and text[stop : stop + 1] == " " and text[start - 7 : start].isalpha() and start >= 7 and text[stop + 1 : stop + 2].isupper()
         i = bisect_right(opens, start) - 1
+        if plain and (i < 0 or start > spans[i][1]):
+            cuts.append(stop)
+            continue
         after = stop
         if i >= 0 and start < spans[i][1]:
             after = _past_closers(text, stop, closing)
@@ -347,43 +355,61 @@ def ends(text: str | None, corpus: Corpus | None = None) -> list[int]:
 
 
 def corpus_tables(docs: DataFrame, text: str = "text", share: float = SHARE) -> Corpus:
-    """Abbreviations and words usual in lower case, over all documents."""
+    """What all documents show, each word of the tables holding ``share`` of all words at least."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lower: Counter = Counter()
-            inside: Counter = Counter()
-            whole: Counter = Counter()
-            total = 0
+            words: Counter = Counter()
+            seen: Counter = Counter()
             for t in batch["tw_text"]:
-                words = WORD.findall(t)
-                total += len(words)
-                lower.update(w for w in words if w[0].islower() and len(w) <= 20)
-                for m in DOTTED.finditer(t):
-                    if len(m[1]) <= 6:
-                        word = m[1].lower()
-                        whole[word] += 1
-                        inside[word] += bool(m[2] or m[3] and m[3].islower())
-            rows = [("total", "", total, 0)] + [("lower", w, n, 0) for w, n in lower.items()] + [("dotted", w, n, inside[w]) for w, n in whole.items()]
-            yield pd.DataFrame(rows, columns=["kind", "word", "n", "inside"])
+                found = WORD.findall(t)
+                words.update(found)
+                lower = None
+                for m in CONTEXT.finditer(t):
+                    word, next_ = m[1].lower(), m[3]
+                    if m[2] or next_[0].islower():
+                        seen["inside", word, ""] += 1
+                    elif next_[0].isdigit():
+                        seen["number", word, ""] += 1
+                    elif next_[0].isupper():
+                        lower = lower if lower is not None else set(found)
+                        next_ = next_.lower()
+                        seen["common" if next_ in lower else "name", word, "" if next_ in lower else next_] += 1
+                for m in ORDINAL.finditer(t):
+                    seen["ordinal", m[1].lower(), ""] += 1
+            rows = [(kind, word, next_, n) for (kind, word, next_), n in seen.items()]
+            rows += [("lower" if w[0].islower() else "other", w.lower(), "", n) for w, n in words.items() if len(w) <= 20]
+            rows.append(("total", "", "", words.total()))
+            yield pd.DataFrame(rows, columns=["kind", "word", "next", "n"])
 
     rows = docs.select(F.col(text).alias("tw_text")).where(F.length("tw_text") > 0)
-    counted = rows.mapInPandas(count, "kind string, word string, n bigint, inside bigint")
-    sums = materialize(counted.groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")), "sentence-words")
-    total = sums.where("kind = 'total'").agg(F.sum("n")).first()[0] or 0
+    counted = rows.mapInPandas(count, "kind string, word string, next string, n bigint")
+    sums = counted.groupBy("kind", "word", "next").agg(F.sum("n").alias("n"))
+    kinds = ("inside", "number", "common", "name", "ordinal", "lower", "other", "total")
+    by_word = sums.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds], F.count_if(F.col("kind") == "name").alias("names"))
+    by_word = materialize(by_word, "sentence-words")
+    total = by_word.agg(F.sum("total")).first()[0] or 0
     least = max(3, share * total)
-    # every word kept holds ``share`` of all words, so there are at most 1 / share
-    common = sums.where((F.col("kind") == "lower") & (F.col("n") >= least)).select("word").collect()
-    dotted = sums.where((F.col("kind") == "dotted") & (F.col("inside") >= least)).select("word", "n", "inside")
-    plain = sums.where("kind = 'lower'").select("word", F.col("n").alias("plain"))
-    kept = dotted.join(plain, "word", "left").where("inside > 0.3 * n AND inside + n > 2 * coalesce(plain, 0)").select("word").collect()
-    return Corpus(frozenset(r["word"] for r in kept), frozenset(r["word"] for r in common))
+    # every word kept holds ``share`` of all words, so there are at most 1 / share of each kind
+    common = by_word.where(F.col("lower") >= least).select("word").collect()
+    dotted = by_word.withColumn("n", F.col("inside") + F.col("number") + F.col("common") + F.col("name")).where(F.col("n") >= least)
+    capitals, alone = F.col("common") + F.col("name"), F.col("lower") + F.col("other")
+    abbreviated = dotted.where((F.col("inside") + F.col("number") >= 0.2 * F.col("n")) & (F.col("n") >= 0.2 * alone))
+    naming = dotted.where((F.col("common") <= 0.03 * capitals) & (F.col("names") >= 5) & ~F.col("word").contains(".") & (capitals >= 0.1 * F.col("n")) & (F.col("n") >= 0.2 * alone))
+    inner = abbreviated.where((F.col("inside") > 0) & (capitals < 0.1 * F.col("n")))
+    closing = abbreviated.where((F.col("inside") > 0.1 * F.col("n")) & (capitals >= 0.1 * F.col("n")))
+    referring = abbreviated.where((F.col("number") >= 3) & (F.col("number") >= 0.15 * F.col("n")) & (F.col("inside") + F.col("number") >= 0.5 * F.col("n")))
+    bound = dotted.where((F.col("common") == 0) & (F.col("names") == 1) & (F.col("name") >= 0.9 * F.col("n")) & (F.col("n") >= 0.9 * alone))
+    ordinal = by_word.where((F.col("ordinal") >= least) & (F.col("ordinal") >= 0.2 * F.col("other")))
+    sets = [frozenset(r["word"] for r in t.select("word").collect()) for t in (inner, closing, naming, referring, ordinal, bound)]
+    names = sets[2]
+    return Corpus(frozenset(r["word"] for r in common), sets[0], sets[1] - names, names, *sets[3:])
 
 
 def sentence_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus: Corpus | None = None) -> DataFrame:
     """(key, end_char) of each sentence unit."""
     corpus = corpus or corpus_tables(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast((corpus.abbreviations, corpus.common))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(corpus))
     rows = docs.select(F.col(key), F.col(text).alias("tw_text")).where(F.length("tw_text") > 0)
     kind = rows.schema[key].dataType.simpleString()
 
