@@ -33,10 +33,10 @@ def views():
 
 
 def test_core_queries(spark):
-    from tidewatch.plans import reference, timestamps
+    from tidewatch.plans import items, reference, timestamps
 
     con = views()
-    for catalogue in (reference.CATALOGUE, timestamps.CATALOGUE):
+    for catalogue in (reference.CATALOGUE, timestamps.CATALOGUE, items.CATALOGUE):
         for name, query in catalogue.queries.items():
             got = query(spark, DATA).toPandas()
             if name in catalogue.sql:
