@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import strip_white
@@ -55,25 +57,52 @@ def _plain_query(query: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
 
-def normalize_url(c: Column) -> Column:
-    """Normal form of a URL; '' for null and for what is not a usable http(s) URL."""
-    raw = F.translate(strip_white(c), "\t\r\n", "")
-    slashless = F.regexp_replace(raw, "/+$", "")
+def _raw(c: Column) -> Column:
+    return F.translate(strip_white(c), "\t\r\n", "")
+
+
+def _parts(raw: Column) -> Column:
+    """[scheme, authority, path, query] of what isn't plain; null for plain URLs, one element for what is no URL."""
+    return F.when(~raw.rlike(PLAIN), F.split(F.regexp_replace(raw, PARTS, "$1\n$2\n$3\n$4"), "\n"))
+
+
+def _normal(raw: Column, parts: Column) -> Column:
+    slashless = F.rtrim(raw, F.lit("/"))
     plain = F.when(F.length(slashless) - F.length(F.replace(slashless, F.lit("/"))) == 2, F.concat(slashless, F.lit("/"))).otherwise(slashless)
 
-    scheme, authority = F.lower(F.regexp_extract(raw, PARTS, 1)), F.lower(F.regexp_extract(raw, PARTS, 2))
-    whole, query = F.regexp_extract(raw, PARTS, 3), F.regexp_extract(raw, PARTS, 4)
+    scheme, authority = F.lower(F.get(parts, F.lit(0))), F.lower(F.get(parts, F.lit(1)))
+    whole, query = F.get(parts, F.lit(2)), F.get(parts, F.lit(3))
     port = F.regexp_extract(authority, r":([^:@\]]*)$", 1)
     usable = scheme.isin(*DEFAULT_PORT) & (authority != "") & (authority.contains("[") == authority.contains("]"))
-    usable &= (port == "") | port.rlike("^0*([0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$")
-    usable &= ~F.lower(F.concat(authority, whole)).rlike(GLUED) & ~authority.rlike("https?:$")  # a second URL glued to the first
-    host = F.when(scheme == "http", F.regexp_replace(authority, ":0*80$", "")).otherwise(F.regexp_replace(authority, ":0*443$", ""))
+    usable &= ~authority.contains(":") | (port == "") | port.rlike("^0*([0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])$")
+    usable &= ~(F.lower(whole).contains("://") | authority.contains(":")) | (~F.lower(F.concat(authority, whole)).rlike(GLUED) & ~authority.rlike("https?:$"))  # a second URL glued to the first
+    bare = F.when(scheme == "http", F.regexp_replace(authority, ":0*80$", "")).otherwise(F.regexp_replace(authority, ":0*443$", ""))
+    host = F.when(authority.contains(":"), bare).otherwise(authority)
     # parameters of the last segment stand outside the path
-    path = F.regexp_replace(F.regexp_extract(whole, "(?s)^((?:.*/)?[^/;]*)", 1), "/+$", "")
-    params = F.regexp_extract(whole, "(?s)^(?:.*/)?[^/;]*(;[^/]+)$", 1)
+    base = F.when(whole.contains(";"), F.regexp_extract(whole, "(?s)^((?:.*/)?[^/;]*)", 1)).otherwise(whole)
+    params = F.when(whole.contains(";"), F.regexp_extract(whole, "(?s)^(?:.*/)?[^/;]*(;[^/]+)$", 1)).otherwise("")
+    path = F.rtrim(base, F.lit("/"))
     tail = F.when(query == "", F.lit("")).otherwise(_plain_query(query))
-    rest = F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(_plain_escapes(path)), params, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(F.lit("")))
-    return F.coalesce(F.when(raw.rlike(PLAIN), plain).when(usable, rest), F.lit(""))
+    rest = F.concat(scheme, F.lit("://"), host, F.when(path == "", F.lit("/")).otherwise(_plain_escapes(path)), params, F.when(query == "", "").otherwise(F.regexp_replace(F.concat(F.lit("?"), tail), r"^\?$", "")))
+    return F.when(parts.isNull(), plain).when(usable, rest)
+
+
+def normalize_url(c: Column) -> Column:
+    """Normal form of a URL; '' for null and for what is not a usable http(s) URL."""
+    raw = _raw(c)
+    return F.coalesce(_normal(raw, _parts(raw)), F.lit(""))
+
+
+def with_normal_urls(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with each of ``columns`` in normal form, null where there is none.
+
+    The same as ``normalize_url``, but what is used several times is a column
+    of its own and is evaluated once.
+    """
+    kept = rows.columns
+    rows = rows.select(*kept, *[_raw(F.col(c)).alias(f"tw_raw_{c}") for c in columns])
+    rows = rows.select("*", *[_parts(F.col(f"tw_raw_{c}")).alias(f"tw_parts_{c}") for c in columns])
+    return rows.select(*[_normal(F.col(f"tw_raw_{c}"), F.col(f"tw_parts_{c}")).alias(c) if c in columns else c for c in kept])
 
 
 def host_of(c: Column) -> Column:
