@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.text import fold_case, strip_white
-from tidewatch.functions.url import normalize_url
+from tidewatch.functions.url import with_normal_urls
 from tidewatch.session import materialize
 
 
@@ -68,12 +68,6 @@ def letters_and_digits(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(fold_case(composed), r"[^\p{L}\p{N}]+", ""), F.lit(""))
 
 
-def url_leaf(c: Column) -> Column:
-    """The normal form, or the stripped text (marked) where there is none."""
-    normal = normalize_url(c)
-    return F.when(normal != "", normal).otherwise(F.concat(F.lit("="), F.coalesce(strip_white(c), F.lit(""))))
-
-
 def keyed(records: DataFrame, key: str, url: str, canonical: str, title: str) -> DataFrame:
     """(tw_id, digest, structure): the root digest of each record and what it was made from."""
     rows = records.select(
@@ -82,7 +76,13 @@ def keyed(records: DataFrame, key: str, url: str, canonical: str, title: str) ->
         F.when(strip_white(F.col(canonical)) != "", F.col(canonical)).alias("c"),
         F.col(title).alias("t"),
     )
-    leaves = rows.select("tw_id", url_leaf(F.col("u")).alias("u"), F.when(F.col("c").isNotNull(), url_leaf(F.col("c"))).alias("c"), letters_and_digits(F.col("t")).alias("t"))
+    normal = with_normal_urls(rows.select("*", F.col("u").alias("normal_u"), F.col("c").alias("normal_c")), ["normal_u", "normal_c"])
+
+    def url_leaf(c: str) -> Column:
+        """The normal form, or the stripped text (marked) where there is none."""
+        return F.coalesce(f"normal_{c}", F.concat(F.lit("="), F.coalesce(strip_white(F.col(c)), F.lit(""))))
+
+    leaves = normal.select("tw_id", url_leaf("u").alias("u"), F.when(F.col("c").isNotNull(), url_leaf("c")).alias("c"), letters_and_digits(F.col("t")).alias("t"))
     leaves = leaves.withColumn("c", F.coalesce("c", "u"))
     root = named_fields(url=leaf(F.col("u")), canonical_url=leaf(F.col("c")), title=leaf(F.col("t")))
     # the canonical URL is mostly the URL itself; naming that case keeps the rows short
