@@ -295,13 +295,13 @@ class Index:
                 self.postings.setdefault(t, []).append(i)
 
         self.noticed = {t for label, ts in self.exemplars if label == "notice" for t in ts}
-        self.telling = {t for t in self.keys() if t in self.noticed}
+        self.telling, self.template_keys = set(self.keys("notice")), set(self.keys("template"))
 
-    def keys(self) -> list[str]:
-        """Tokens without any of which no notice or template can be contained."""
+    def keys(self, wanted: str) -> list[str]:
+        """Tokens without any of which no exemplar of a label can be contained."""
         found = set()
         for (label, ts), total in zip(self.exemplars, self.total):
-            if label != "mention":
+            if label == wanted:
                 held = 0.0
                 for t in sorted(ts, key=lambda t: (-self.weight[t], t)):
                     found.add(t)
@@ -354,37 +354,48 @@ def _is_filler(words: list[str]) -> bool:
     return len(letters) >= FILLER_WORDS and sum(w[:3] in FILLER for w in letters) >= FILLER_SHARE * len(letters)
 
 
-def is_residue(text: str | None, index: Index, own: frozenset[str] | None = None) -> bool:
-    """Whether a text holds residue where real content belongs; with ``own``, all other lines are the site's."""
+def is_residue(text: str | None, index: Index, own: frozenset[str] | None = None, special: bool = True) -> bool:
+    """Whether a text holds residue where real content belongs; with ``own``, all other lines are the site's.
+
+    Without ``special`` it is known to hold no slot, filler or template, so
+    reading ends where enough content has been met.
+    """
     if not text or text.isspace():
         return False
     notices, left = 0, 0
     before: set[str] = set()
+    told = False
     for line in text.split("\n"):
         mine = own is None or line in own
         for window in SENTENCE.split(line):
             if not window or window.isspace():
                 continue
-            words = words_of(SLOT.sub(" ", window))
-            if _own_slot(window, line, index) or _is_filler(words):
-                if mine:
-                    return True
-                notices += 1
-                continue
+            if special:
+                words = words_of(SLOT.sub(" ", window))
+                if _own_slot(window, line, index) or _is_filler(words):
+                    if mine:
+                        return True
+                    notices += 1
+                    continue
+            else:
+                words = words_of(window)
             here = {w[:STEM] for w in words}
-            best = index.scores(here)
-            mention = best.get("mention", (0.0, 0.0))[0]
-            held, covered = best.get("template", (0.0, 0.0))
-            if held >= 0.85 and covered >= COVERED and mention < held:
-                if mine:
-                    return True
-                notices += 1
-                continue
-            # a passage is a sentence, or two of them
-            if index.is_notice(here) or before and here and index.is_notice(before | here):
+            if special and here & index.template_keys:
+                best = index.scores(here)
+                held, covered = best.get("template", (0.0, 0.0))
+                if held >= 0.85 and covered >= COVERED and best.get("mention", (0.0, 0.0))[0] < held:
+                    if mine:
+                        return True
+                    notices += 1
+                    continue
+            # a passage is a sentence, or two of them; without a telling word neither is a notice
+            told, before_told = bool(here & index.telling), told
+            if left < CONTENT_WORDS and ((told and index.is_notice(here)) or ((told or before_told) and before and here and index.is_notice(before | here))):
                 notices += 1
             elif mine and len(words) > 6 and window.rstrip()[-1:] in ".!?。！？…”’»\"')":
                 left += max(len(words), len(window) // 6)
+                if left >= CONTENT_WORDS and not special:
+                    return False
             before = here
     return notices > 0 and left < CONTENT_WORDS
 
@@ -398,18 +409,21 @@ def found(items: DataFrame, key: str = "item_id", source: str = "institution", t
     counts = {r["token"]: r["count"] for r in counted.collect()}  # at most one row per exemplar token
     documents = rows.where("tw_body IS NOT NULL").count()
     index = Index(counts, documents)
-    keys = [k for k in index.keys() if k != "0"]
+    telling, templates = (F.array(*[F.lit(k) for k in index.keys(label) if k != "0"]) for label in ("notice", "template"))
     body = F.col("tw_body")
     slot = reduce(or_, [body.contains(m) for m in SLOT_MARKS] + [body.contains(m) & body.rlike(p) for m, p in SLOT_PATTERNS])
-    some = slot | F.arrays_overlap(words, F.array(*[F.lit(k) for k in keys])) | F.lower("tw_body").rlike(FILLER_JVM)
-    suspects = clean(rows, "tw_src", "tw_body", keep=some)
+    met = rows.withColumn("tw_words", words)
+    special = slot | F.arrays_overlap("tw_words", templates) | F.lower("tw_body").rlike(FILLER_JVM)
+    marked = met.select("tw_key", "tw_src", "tw_body", "tw_whole", special.alias("tw_special"), F.arrays_overlap("tw_words", telling).alias("tw_told"))
+    suspects = clean(marked, "tw_src", "tw_body", keep=F.col("tw_special") | F.col("tw_told"))
     kind = suspects.schema["tw_key"].dataType.simpleString()
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Index(counts, documents)
         for batch in batches:
             # equal lines are taken out together, so what is left tells which lines are the record's own
-            hit = [is_residue(t, own, None if t is None or t == rest else frozenset(rest.split("\n"))) for t, rest in zip(batch["tw_whole"], batch["tw_body"])]
+            rows = zip(batch["tw_whole"], batch["tw_body"], batch["tw_special"])
+            hit = [is_residue(t, own, None if t is None or t == rest else frozenset(rest.split("\n")), s) for t, rest, s in rows]
             yield pd.DataFrame({key: batch.loc[hit, "tw_key"]})
 
-    return suspects.select("tw_key", "tw_body", "tw_whole").mapInPandas(check, f"`{key}` {kind}")
+    return suspects.select("tw_key", "tw_body", "tw_whole", "tw_special").mapInPandas(check, f"`{key}` {kind}")
