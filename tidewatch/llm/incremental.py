@@ -694,12 +694,12 @@ def _admit(store: FingerprintStore, rows: DataFrame, classes: DataFrame, family:
             own = materialize(store.kept(inner), "own")
             part, cut = store.meta["next"], _cut(own, inner, family)
             if cut is None:
-                found.append(_admit_fresh(store, fresh, inner, own))
+                found.append(_admit_fresh(store, fresh, inner, own, own))
                 break
             # what stands before the cut is admitted first; the rest is held against what that added
             ahead = materialize(fresh.where(F.col("item_id") < cut), "ahead")
             some = materialize(inner.join(broadcast_if_small(ahead.select("cls"), of=ahead), "cls", "left_semi"), "ahead-classes")
-            found.append(_admit_fresh(store, ahead, some, own.join(broadcast_if_small(some.select("cls"), of=some), "cls", "left_semi")))
+            found.append(_admit_fresh(store, ahead, some, own.join(broadcast_if_small(some.select("cls"), of=some), "cls", "left_semi"), own))
             rows = materialize(fresh.where(F.col("item_id") >= cut), "behind")
             classes = inner.join(broadcast_if_small(rows.select("cls"), of=rows), "cls", "left_semi")
             since, family = part, 2 * family
@@ -720,10 +720,10 @@ def _cut(own: DataFrame, classes: DataFrame, family: int) -> int | None:
     return held.withColumn("nth", nth).where(F.col("nth") <= family + 1).where(F.col("nth") == family + 1).agg(F.min("first")).first()[0]
 
 
-def _admit_fresh(store: FingerprintStore, rows: DataFrame, classes: DataFrame, own: DataFrame) -> DataFrame:
-    """``admit`` for rows that repeat nothing in the store: they are held against each other only."""
+def _admit_fresh(store: FingerprintStore, rows: DataFrame, classes: DataFrame, own: DataFrame, whole: DataFrame) -> DataFrame:
+    """``admit`` for rows that repeat nothing in the store: they are held against each other only.  ``own`` is part of the written ``whole``."""
     held = own.select("fp", F.col("cls").alias("other"), F.col("n_words").alias("m"))
-    one = _asked(classes).join(held, "fp").where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
+    one = _asked(classes).join(broadcast_if_small(held, of=whole), "fp").where("cls <> other").where(_near(F.col("n_words"), F.col("m")))
     pairs = materialize(one.select(F.least("cls", "other").alias("cls"), F.greatest("cls", "other").alias("other")).distinct(), "inner")
     among = materialize(_verified(pairs, classes, classes).select("cls", "other"), "among")
     repeats = _settle(rows, among)
